@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkdex.llm import lexicon
 from inkdex.llm import term_counts as tc
 from inkdex.runtime import materialize, table
 
@@ -63,3 +64,12 @@ def p2_found(spark, sf_dir):
     p = tc.verdicts(p.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total(p))), (F.col("documents") * 20 > F.col("n")) | (F.col("occurrences") * 100 > F.col("total")), F.col("documents") <= 2)
     d = tc.verdicts(d.crossJoin(F.broadcast(total(d))), F.col("occurrences") * 1000 > F.col("total"), F.col("occurrences") < 5)
     return p.select(F.lit("postings").alias("origin"), "term", "verdict").unionByName(d.select(F.lit("dictionary").alias("origin"), "term", "verdict"))
+
+
+# -- problem 6: encoding with a public tokenizer
+
+
+@query()
+def p6_ids(spark, sf_dir):
+    """Token ids of every document by byte_bpe_50k."""
+    return lexicon.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
