@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import lexicon
+from inkdex.llm import containment, lexicon
 from inkdex.llm import term_counts as tc
 from inkdex.runtime import materialize, table
 
@@ -73,3 +73,12 @@ def p2_found(spark, sf_dir):
 def p6_ids(spark, sf_dir):
     """Token ids of every document by byte_bpe_50k."""
     return lexicon.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# -- problem 7: evaluation passages in the corpus
+
+
+@query()
+def p7_found(spark, sf_dir):
+    """Documents that hold 12 consecutive words of an evaluation item."""
+    return containment.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
