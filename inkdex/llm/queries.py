@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import containment, lexicon
+from inkdex.llm import containment, lexicon, minmax
 from inkdex.llm import term_counts as tc
 from inkdex.runtime import materialize, table
 
@@ -82,3 +82,19 @@ def p6_ids(spark, sf_dir):
 def p7_found(spark, sf_dir):
     """Documents that hold 12 consecutive words of an evaluation item."""
     return containment.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
+
+
+# -- problem 1: near-duplicate contents
+
+
+@query()
+def p1_found(spark, sf_dir):
+    """Pairs of records whose current contents have a similarity of 0.6 or more."""
+    return minmax.near_duplicates(table(spark, sf_dir, "docs"), "doc_id", "content", "revision").pairs()
+
+
+@query()
+def p1_groups(spark, sf_dir):
+    """Of each record the representative of its text, the text's links, and its group."""
+    found = minmax.near_duplicates(table(spark, sf_dir, "docs"), "doc_id", "content", "revision")
+    return found.groups().withColumnRenamed("k", "doc_id")
