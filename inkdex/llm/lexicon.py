@@ -8,8 +8,8 @@ minimal acyclic automaton whose shared suffixes keep it small; every other piece
 from __future__ import annotations
 
 import base64
-import hashlib
 import importlib.util
+import uuid
 from collections import Counter
 from functools import lru_cache
 from pathlib import Path
@@ -207,7 +207,7 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary_path: str | None =
     encoder = _encoder(path)
     pieces = frequent_pieces(df, text, words)
     blob = Transducer.compile({p.encode(): ids for p, ids in zip(pieces, map(encoder.encode_ordinary, pieces))}).to_bytes()
-    name = ship_file(df.sparkSession, f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin", blob)
+    name = ship_file(df.sparkSession, f"lexicon-{uuid.uuid4().hex}.bin", blob)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
