@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import containment, lexicon, minmax
+from inkdex.llm import canonical, containment, lexicon, minmax
 from inkdex.llm import term_counts as tc
 from inkdex.runtime import materialize, table
 
@@ -98,3 +98,21 @@ def p1_groups(spark, sf_dir):
     """Of each record the representative of its text, the text's links, and its group."""
     found = minmax.near_duplicates(table(spark, sf_dir, "docs"), "doc_id", "content", "revision")
     return found.groups().withColumnRenamed("k", "doc_id")
+
+
+# -- problem 5: texts that look the same
+
+
+@query()
+def p5_found(spark, sf_dir):
+    """Pairs of records of a field that look the same in print but differ in characters."""
+    fields = [("content", "docs", "doc_id", "content", F.col("revision")), ("request", "requests", "request_id", "text", F.lit(0)), ("dictionary", "dictionary", "entry_id", "text", F.lit(0))]
+    rows = [table(spark, sf_dir, t).select(F.lit(f).alias("field_name"), F.col(k).alias("id"), F.col(x).alias("text"), v.alias("version")) for f, t, k, x, v in fields]
+    return canonical.lookalike_pairs(rows[0].unionByName(rows[1]).unionByName(rows[2]), "field_name", "id", "text", "version")
+
+
+@query()
+def p5_canonical(spark, sf_dir):
+    """The canonical form of every current content."""
+    docs = table(spark, sf_dir, "docs").select("doc_id", canonical.canonical(F.col("content")).alias("canonical"), "revision")
+    return docs.distinct().groupBy("doc_id").agg(F.max_by("canonical", "revision").alias("canonical"))
