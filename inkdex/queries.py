@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkdex.operators import skew
 from inkdex.runtime import table
+from inkdex.sources import reject_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,32 @@ def p3_top_docs(spark, sf_dir):
 def p3_totals(spark, sf_dir):
     """Rows, documents and summed tf of every tok."""
     return skew.totals_per_key(table(spark, sf_dir, "postings"), "tok", "doc_id", "tf")
+
+
+# -- problem 4: dictionary lines that fail to parse
+
+_LINES = r"""
+with l as (select line_id, coalesce(raw_line, '') as r, coalesce(raw_line, '') as s from dict_lines),
+w as (select line_id, regexp_full_match(r, '[ \t\r]*(?:(?:"(?:[^"]|"")*"|[^" \t\r]+)(?:[ \t\r]+(?:"(?:[^"]|"")*"|[^" \t\r]+))*)?[ \t\r]*', 's') as fine,
+  [case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end for x in regexp_extract_all(s, '"(?:[^"]|"")*"|[^" \t\r]+', 0, 's')] as f from l),
+v as (select line_id, f, case when not fine then 'quoting' when len(f) not in (2, 3) then 'columns'
+  when trim(f[1]) = '' or regexp_matches(f[1], '[\x00-\x1F\x7F\x{FFFD}]') then 'text'
+  when not regexp_full_match(f[2], '0*[0-9]{1,10}') or try_cast(f[2] as bigint) not between 2 and 2147483647 then 'freq'
+  when len(f) = 3 and not regexp_full_match(f[3], '[a-z]{1,3}') then 'pos' end as reason from w)
+"""
+
+
+def _parsed(spark, sf_dir):
+    return reject_csv.parse_lines(table(spark, sf_dir, "dict_lines"), "line_id", "raw_line")
+
+
+@query(_LINES + "select line_id, reason from v where reason is not null")
+def p4_found(spark, sf_dir):
+    """Bad dictionary lines with the reason."""
+    return reject_csv.rejected(_parsed(spark, sf_dir), "line_id")
+
+
+@query(_LINES + "select line_id, f[1] as text, cast(f[2] as integer) as freq, f[3] as pos from v where reason is null")
+def p4_entries(spark, sf_dir):
+    """The entries of all valid dictionary lines."""
+    return reject_csv.valid(_parsed(spark, sf_dir), "line_id")
