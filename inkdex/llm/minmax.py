@@ -27,7 +27,7 @@ WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 @dataclass(frozen=True)
 class MinMax:
-    """Parameters of the search; the defaults miss a pair at the threshold of 0.6 with probability 0.2 %.
+    """Parameters of the search; the defaults miss a pair at the threshold of 0.6 with probability 0.05 %.
 
     ``rows`` must be even (a permutation gives two values). ``slack``: sketches of 256 bits may differ in as many bits
     as are expected at the threshold plus so many standard deviations (4: one in 30,000 such pairs is lost).
@@ -35,7 +35,7 @@ class MinMax:
 
     threshold: float = 0.6
     size: int = 5
-    bands: int = 128
+    bands: int = 160
     rows: int = 6
     slack: float = 4.0
 
