@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import canonical, containment, lexicon, minmax
+from inkdex.llm import canonical, containment, lexicon, minmax, mojibake
 from inkdex.llm import term_counts as tc
 from inkdex.runtime import materialize, table
 
@@ -116,3 +116,22 @@ def p5_canonical(spark, sf_dir):
     """The canonical form of every current content."""
     docs = table(spark, sf_dir, "docs").select("doc_id", canonical.canonical(F.col("content")).alias("canonical"), "revision")
     return docs.distinct().groupBy("doc_id").agg(F.max_by("canonical", "revision").alias("canonical"))
+
+
+# -- problem 8: text read in a wrong encoding
+
+
+def _garbled(spark, sf_dir):
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"))
+
+
+@query()
+def p8_found(spark, sf_dir):
+    """Documents that were read, in whole or in part, in a wrong encoding."""
+    return _garbled(spark, sf_dir).select("doc_id")
+
+
+@query()
+def p8_restored(spark, sf_dir):
+    """Those documents with the mistakes found and their text as it was, as far as it can be recovered."""
+    return _garbled(spark, sf_dir).select("doc_id", "pairs", "restored")
