@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from inkdex.operators import skew
-from inkdex.runtime import table
-from inkdex.sources import reject_csv
+from inkdex.functions import hashing, scoring, text
+from inkdex.model import BM25Parameters, EngineOptions, IndexType, RankOptions, SearchRequest
+from inkdex.operators import index, lookup, ranking, segment, skew
+from inkdex.plans import requests
+from inkdex.plans.engine import Engine
+from inkdex.runtime import materialize, shared_path, table
+from inkdex.sources import dictionary, reject_csv
+from inkdex.sources.store import ParquetStore
+from inkdex.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +85,535 @@ def p4_found(spark, sf_dir):
 def p4_entries(spark, sf_dir):
     """The entries of all valid dictionary lines."""
     return reject_csv.valid(_parsed(spark, sf_dir), "line_id")
+
+
+# -- splitting and segmenting the corpus
+
+_UNIT = text.UNIT
+_LOW = f"translate(%s, '{text.UPPER}', '{text.LOWER}')"
+#: Current documents; their content tokens with places; stop tokens.
+_CUR = "cur as (select * from docs qualify row_number() over (partition by doc_id order by revision desc nulls last) = 1)"
+_TOKENS = f"""{_CUR},
+un as (select doc_id, u as tok, i - 1 as pos from (select doc_id, unnest(a) as u, generate_subscripts(a, 1) as i
+  from (select doc_id, regexp_extract_all({_LOW % "coalesce(content, '')"}, '{_UNIT}') as a from cur) where len(a) > 1)),
+tk as (select doc_id, cast(pos as int) as pos, tok, cast(coalesce(sum(strlen(tok)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as int) as start from un)"""
+_STOP = "stop as (select distinct tok from stop_tokens where tok <> '')"
+_LENGTHS = """
+len_ as (select cur.doc_id, cast(case when coalesce(content, '') <> '' then coalesce(c.n, 0) else coalesce(len(tokens), 0) end as float) as token_length
+  from cur left join (select doc_id, count(*) as n from tk group by doc_id) c on c.doc_id = cur.doc_id)"""
+_KEYWORDS = f"""{_TOKENS}, {_STOP},
+given as (select doc_id, tok, starts from (select doc_id, t.text as tok, coalesce(t.locations, []) as starts, row_number() over (partition by doc_id, t.text order by i desc) as rn
+  from (select doc_id, unnest(tokens) as t, generate_subscripts(tokens, 1) as i from cur where coalesce(content, '') = '')) where rn = 1 and tok is not null),
+kw as (select doc_id, tok, list(start order by start) as starts from tk group by doc_id, tok union all select doc_id, tok, starts from given),
+lab as (select distinct doc_id, tok from (select doc_id, unnest(labels) as tok from cur) where tok is not null),
+post as (select * from (select coalesce(k.doc_id, l.doc_id) as doc_id, coalesce(k.tok, l.tok) as tok, case when l.tok is not null then [] else k.starts end as starts
+  from kw k full outer join lab l on k.doc_id = l.doc_id and k.tok = l.tok) where tok not in (select tok from stop)),
+{_LENGTHS}"""
+
+
+def _docs(spark, sf_dir):
+    return index.current_rows(table(spark, sf_dir, "docs"))
+
+
+def _stop(spark, sf_dir):
+    return dictionary.stop_list(table(spark, sf_dir, "stop_tokens"))
+
+
+def _joined(c: str):
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+@query(f"""select doc_id, cast(i - 1 as int) as pos, raw from (select doc_id, unnest(a) as raw, generate_subscripts(a, 1) as i
+from (select doc_id, regexp_extract_all(text, '{_UNIT}') as a from documents))""")
+def split_words(spark, sf_dir):
+    """The units of every document as they stand."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_words(F.col("text"))).alias("pos", "raw"))
+
+
+@query(f"select distinct raw, {_LOW % 'raw'} as lowered from (select unnest(regexp_extract_all(text, '{_UNIT}')) as raw from documents)")
+def ascii_lower(spark, sf_dir):
+    """The distinct units of the corpus with their lower-case form."""
+    raw = table(spark, sf_dir, "documents").select(F.explode(text.split_words(F.col("text"))).alias("raw")).distinct()
+    return raw.select("raw", text.ascii_lower(F.col("raw")).alias("lowered"))
+
+
+@query(f"select doc_id, cast(case when len(a) > 1 then len(a) else 0 end as int) as n from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_UNIT}') as a from documents)")
+def segment_nodict(spark, sf_dir):
+    """The number of search-mode tokens of every document, without a dictionary."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.search_units(F.col("text"))).alias("n"))
+
+
+@query(f'with {_TOKENS} select doc_id, pos, tok, start, cast(start + strlen(tok) as int) as "end" from tk')
+def token_offsets(spark, sf_dir):
+    """Every content token with its byte places."""
+    return index.tokenize(_docs(spark, sf_dir))
+
+
+@query(f"with {_TOKENS}, {_LENGTHS} select doc_id, token_length from len_")
+def doc_token_length(spark, sf_dir):
+    """The length of every document."""
+    return index.doc_stats(_docs(spark, sf_dir))
+
+
+@query(f"with {_TOKENS}, {_STOP} select doc_id, tok, count(*) as n from tk where tok not in (select tok from stop) group by doc_id, tok")
+def stop_token_filter(spark, sf_dir):
+    """Content tokens that are no stop tokens, counted."""
+    rows = index.tokenize(_docs(spark, sf_dir))
+    stop = table(spark, sf_dir, "stop_tokens").where("tok <> ''").distinct()
+    return rows.join(stop, "tok", "left_anti").groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select distinct tok from stop_tokens where tok <> ''")
+def stop_tokens_load(spark, sf_dir):
+    """The stop tokens in use, through a file of one token per line."""
+    path = shared_path(spark, "stop")
+    table(spark, sf_dir, "stop_tokens").select(F.coalesce("tok", F.lit("")).alias("value")).coalesce(1).write.text(path)
+    return dictionary.read_stop_tokens(spark, path)
+
+
+# -- the index
+
+
+@query(f"with {_KEYWORDS} select g.doc_id, g.tok, array_to_string(g.starts, ' ') as starts from given g where g.tok not in (select tok from stop)")
+def external_tokens(spark, sf_dir):
+    """Postings of the tokens that were given with documents without content."""
+    rows = _docs(spark, sf_dir).where("coalesce(content, '') = ''").drop("labels")
+    return index.build_postings(rows, _stop(spark, sf_dir)).select("doc_id", "tok", _joined("starts").alias("starts"))
+
+
+@query(f"with {_KEYWORDS} select tok, doc_id from post")
+def postings_docids(spark, sf_dir):
+    """The index that holds documents only."""
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.DOC_IDS)
+
+
+@query(f"with {_KEYWORDS} select tok, doc_id, cast(len(starts) as float) as tf from post")
+def postings_freq(spark, sf_dir):
+    """The index with frequencies."""
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.FREQUENCIES)
+
+
+@query(f"with {_KEYWORDS} select tok, doc_id, cast(len(starts) as float) as tf, array_to_string(starts, ' ') as starts from post")
+def postings_locations(spark, sf_dir):
+    """The index with places."""
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir)).withColumn("starts", _joined("starts"))
+
+
+@query(f"with {_KEYWORDS} select (select count(*) from post) as num_token_index_added, (select count(*) from cur) as num_documents_indexed")
+def index_counters(spark, sf_dir):
+    """How much an engine has indexed."""
+    with Engine(spark, EngineOptions(stop_tokens=tuple(_stop(spark, sf_dir)))) as engine:
+        engine.index(table(spark, sf_dir, "docs"))
+        return spark.createDataFrame([engine.counters()], "num_token_index_added bigint, num_documents_indexed bigint")
+
+
+# -- statistics, lookup and relevance over the given index
+
+_INDEX = """
+ps as (select tok, doc_id, max(greatest(coalesce(cast(tf as double), 0), 0)) as tf, max(coalesce(starts, [])) as starts from postings where tok <> '' and doc_id is not null group by tok, doc_id),
+st as (select doc_id, max(greatest(coalesce(cast(token_length as double), 0), 0)) as len_ from doc_stats group by doc_id),
+df as (select tok, count(*) as df from ps group by tok),
+g as (select count(*) as n, cast(coalesce(sum(len_), 0) as double) as total, cast(avg(len_) as double) as a from st)"""
+
+
+def _index(spark, sf_dir):
+    return index.clean_postings(table(spark, sf_dir, "postings")), index.clean_stats(table(spark, sf_dir, "doc_stats"))
+
+
+@query(f"with {_INDEX} select tok, df from df")
+def document_frequency(spark, sf_dir):
+    """In how many documents each tok is."""
+    return index.document_frequency(_index(spark, sf_dir)[0])
+
+
+@query(f"with {_INDEX} select tok, round(log2(g.n / df.df + 1), 6) as idf from df, g")
+def idf(spark, sf_dir):
+    """The smoothed inverse document frequency of each tok."""
+    postings, stats = _index(spark, sf_dir)
+    rows = index.document_frequency(postings).crossJoin(F.broadcast(index.corpus_stats(stats)))
+    return rows.select("tok", F.round(scoring.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"with {_INDEX} select n as n_docs, total as total_length, round(a, 6) as avg_length from g")
+def corpus_stats(spark, sf_dir):
+    """Number of documents, total and average length."""
+    return index.corpus_stats(_index(spark, sf_dir)[1]).withColumn("avg_length", F.round("avg_length", 6))
+
+
+def _and(*keys: str) -> str:
+    listed = ", ".join(f"'{k}'" for k in keys)
+    return f"select doc_id from ps where tok in ({listed}) group by doc_id having count(*) = {len(set(keys))}"
+
+
+@query(f"with {_INDEX} {_and('the', 'of')}")
+def lookup_and_2(spark, sf_dir):
+    """Documents with two toks."""
+    return lookup.matching(_index(spark, sf_dir)[0], ["the", "of"])
+
+
+@query(f"with {_INDEX} {_and('the', 'of', 'and')}")
+def lookup_and_3(spark, sf_dir):
+    """Documents with three toks."""
+    return lookup.matching(_index(spark, sf_dir)[0], ["the", "of", "and"])
+
+
+@query(f"with {_INDEX} {_and('the', 'no such tok')}")
+def lookup_missing_keyword(spark, sf_dir):
+    """A tok that no document has: nothing is found."""
+    return lookup.matching(_index(spark, sf_dir)[0], ["the", "no such tok"])
+
+
+@query(f"with {_INDEX} {_and('the', 'en')}")
+def lookup_with_label(spark, sf_dir):
+    """A tok and a label; labels share the key space."""
+    return lookup.lookup(*_index(spark, sf_dir), ["the"], ["en"]).select("doc_id")
+
+
+@query(f"with {_INDEX} select doc_id, cast(0 as double) as bm25 from ({_and('en')})")
+def lookup_label_only(spark, sf_dir):
+    """A label alone: every document scores 0."""
+    return lookup.lookup(*_index(spark, sf_dir), [], ["en"]).select("doc_id", "bm25")
+
+
+@query(f"with {_INDEX}, r as (select min(doc_id) + (max(doc_id) - min(doc_id)) // 4 as lo, max(doc_id) - (max(doc_id) - min(doc_id)) // 4 as hi from ps) select doc_id from ({_and('the', 'of')}), r where doc_id between lo and hi")
+def docid_range_filter(spark, sf_dir):
+    """Documents with two toks within a range of ids: the middle half."""
+    postings, stats = _index(spark, sf_dir)
+    r = postings.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    request = SearchRequest(tokens=["the", "of"], doc_ids=[r.lo + (r.hi - r.lo) // 4, r.hi - (r.hi - r.lo) // 4])
+    return lookup.lookup(postings, stats, request.tokens, request.labels, request.range()).select("doc_id")
+
+
+def _bm25(keys: list[str], labels: tuple[str, ...] = (), k1: str = "2.0", b: str = "0.75", extra: str = "", tf: str = "p.tf") -> str:
+    asked = ", ".join(f"('{k}')" for k in keys)
+    need = ", ".join(f"'{k}'" for k in {*keys, *labels})
+    return f"""k(tok) as (values {asked}),
+hit as (select doc_id from ps where tok in ({need}) group by doc_id having count(*) = {len({*keys, *labels})}),
+bm as (select p.doc_id, round(sum(case when {tf} > 0 and g.a <> 0 then log2(g.n / df.df + 1) * {tf} * ({k1} + 1) / ({tf} + {k1} * (1 - {b} + {b} * coalesce(st.len_, 0) / g.a)) else 0 end), 6) as bm25
+  from k join ps p on p.tok = k.tok join hit on hit.doc_id = p.doc_id join df on df.tok = p.tok left join st on st.doc_id = p.doc_id cross join g {extra} group by p.doc_id)"""
+
+
+def _scored(hits):
+    return hits.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"with {_INDEX}, {_bm25(['the', 'of'])} select doc_id, cast(bm25 as double) as bm25 from bm")
+def bm25_two_terms(spark, sf_dir):
+    """Relevance for two toks."""
+    return _scored(lookup.lookup(*_index(spark, sf_dir), ["the", "of"]))
+
+
+@query(f"with {_INDEX}, {_bm25(['the', 'of', 'the'])} select doc_id, cast(bm25 as double) as bm25 from bm")
+def bm25_duplicate_terms(spark, sf_dir):
+    """A repeated tok counts as often as it is asked for."""
+    return _scored(lookup.lookup(*_index(spark, sf_dir), ["the", "of", "the"]))
+
+
+@query(f"with {_INDEX}, {_bm25(['the', 'en'], ('thread',))} select doc_id, cast(bm25 as double) as bm25 from bm")
+def bm25_label_clobber(spark, sf_dir):
+    """A label asked for as a tok has frequency 0 and adds nothing; a label as such filters only."""
+    return _scored(lookup.lookup(*_index(spark, sf_dir), ["the", "en"], ["thread"]))
+
+
+@query(f"with {_INDEX}, {_bm25(['the', 'of'], k1='1.2', b='0.5')} select doc_id, cast(bm25 as double) as bm25 from bm")
+def bm25_custom_params(spark, sf_dir):
+    """Other parameters of the relevance."""
+    return _scored(lookup.lookup(*_index(spark, sf_dir), ["the", "of"], bm25=BM25Parameters(1.2, 0.5)))
+
+
+_SHARDED = _INDEX.replace("df as (select tok,", "df as (select doc_id % 2 as shard, tok,").replace("from ps group by tok),", "from ps group by doc_id % 2, tok),").replace("g as (select", "g as (select doc_id % 2 as shard,").replace("from st)", "from st group by doc_id % 2)")
+
+
+@query(f"with {_SHARDED}, {_bm25(['the', 'of'], extra='where df.shard = p.doc_id % 2 and g.shard = p.doc_id % 2')} select doc_id, cast(bm25 as double) as bm25 from bm")
+def bm25_sharded(spark, sf_dir):
+    """Relevance by the statistics of each of two shards."""
+    return _scored(lookup.lookup(*_index(spark, sf_dir), ["the", "of"], shard=F.pmod("doc_id", F.lit(2))))
+
+
+# -- places
+
+_PAIR = "select a.doc_id, a.starts as s1, b.starts as s2 from (select doc_id, starts from post where tok = 'these') a join (select doc_id, starts from post where tok = 'our') b on a.doc_id = b.doc_id"
+
+
+def _located_hits(spark, sf_dir, tokens):
+    docs = materialize(_docs(spark, sf_dir), "documents")
+    postings = materialize(index.build_postings(docs), "postings")
+    return lookup.lookup(postings, index.doc_stats(docs), tokens, index_type=IndexType.LOCATIONS)
+
+
+_ALL = _KEYWORDS.replace(_STOP, "stop as (select '' as tok)")
+
+
+@query(f"with {_ALL} select doc_id, cast(case when len(s1) > 0 and len(s2) > 0 then list_min(flatten([[abs(b - a - 5) for b in s2] for a in s1])) end as int) as token_proximity from ({_PAIR})")
+def proximity_two_terms(spark, sf_dir):
+    """How close two tokens stand to each other."""
+    return _located_hits(spark, sf_dir, ["these", "our"]).select("doc_id", "token_proximity")
+
+
+@query(f"with {_ALL} select doc_id, array_to_string(s1, ' ') || '|' || array_to_string(s2, ' ') as places from ({_PAIR})")
+def token_locations(spark, sf_dir):
+    """The places of the tokens asked for, in their order."""
+    return _located_hits(spark, sf_dir, ["these", "our"]).select("doc_id", F.array_join(F.transform("token_locations", lambda x: F.array_join(x.cast("array<string>"), " ")), "|").alias("places"))
+
+
+@query()
+def snippet_locations(spark, sf_dir):
+    """Where the tokens stand closest; three tokens, one of them twice."""
+    return _located_hits(spark, sf_dir, ["these", "our", "these"]).select("doc_id", "token_proximity", _joined("token_snippet_locations").alias("snippet"))
+
+
+# -- ranking
+
+_RANKED = f"{_KEYWORDS}, ps as (select tok, doc_id, len(starts) as tf from post), st as (select doc_id, token_length as len_ from len_), df as (select tok, count(*) as df from ps group by tok), g as (select count(*) as n, avg(len_) as a from st), {_bm25(['most', 'these'])}"
+_FIELDS = "left join (select doc_id, fields from cur) f on f.doc_id = bm.doc_id"
+
+
+def _hits(spark, sf_dir, tokens=("most", "these")):
+    docs = materialize(_docs(spark, sf_dir), "documents")
+    postings = index.build_postings(docs, _stop(spark, sf_dir), IndexType.FREQUENCIES)
+    return lookup.lookup(postings, index.doc_stats(docs), list(tokens)).withColumn("bm25", F.round("bm25", 6)), docs.select("doc_id", "fields")
+
+
+def _stars(df):
+    """Documents without stars are dropped."""
+    return F.when(df["fields.stars"].isNotNull(), F.array(df["fields.stars"].cast("double"))).otherwise(F.array().cast("array<double>"))
+
+
+def _numbered(ranked, options):
+    """With the place in the order, as the order of rows isn't compared."""
+    w = Window.orderBy(*ranking.order(options))  # over what the slice left, a bounded number of rows
+    return ranked.withColumn("rank", F.row_number().over(w) + options.output_offset)
+
+
+@query(f"with {_RANKED} select bm.doc_id, fields.stars as stars from bm {_FIELDS}")
+def rank_fields_left_join(spark, sf_dir):
+    """Scoring fields of the documents found, null where there are none."""
+    hits, fields = _hits(spark, sf_dir)
+    return ranking.score(hits, fields).select("doc_id", "fields.stars")
+
+
+@query(f"with {_RANKED} select bm.doc_id, cast(fields.stars as double) as score from bm {_FIELDS} where fields.stars is not null")
+def scorer_filter(spark, sf_dir):
+    """A scorer that gives no score drops the document."""
+    hits, fields = _hits(spark, sf_dir)
+    return ranking.score(hits, fields, _stars).select("doc_id", F.col("scores")[0].alias("score"))
+
+
+@query(f"with {_RANKED} select bm.doc_id, cast(row_number() over (order by coalesce(fields.stars, -1) desc, bm25 desc, bm.doc_id desc) as int) as rank from bm {_FIELDS} qualify rank <= 50")
+def multi_score_sort(spark, sf_dir):
+    """The 50 best by two scores, one after the other."""
+    hits, fields = _hits(spark, sf_dir)
+    options = RankOptions(max_outputs=50)
+    scored = ranking.score(hits, fields, lambda d: F.array(F.coalesce(d["fields.stars"].cast("double"), F.lit(-1.0)), d["bm25"]))
+    return _numbered(ranking.rank(scored, options), options).select("doc_id", "rank")
+
+
+@query(f"with {_RANKED} select doc_id, cast(row_number() over (order by bm25, doc_id desc) as int) as rank from bm qualify rank <= 20")
+def rank_reverse(spark, sf_dir):
+    """The 20 least relevant documents, the least first."""
+    options = RankOptions(reverse_order=True, max_outputs=20)
+    return _numbered(ranking.rank(ranking.score(_hits(spark, sf_dir)[0]), options), options).select("doc_id", "rank")
+
+
+@query(f"with {_RANKED} select doc_id, cast(bm25 as double) as bm25, cast(row_number() over (order by bm25 desc, doc_id desc) as int) as rank from bm qualify rank <= 10")
+def topk_bm25(spark, sf_dir):
+    """From raw documents to the 10 most relevant for 'most these' (a text; the blank is a stop token or asked for, too)."""
+    options = RankOptions(max_outputs=10)
+    return _numbered(ranking.rank(ranking.score(_hits(spark, sf_dir)[0]), options), options).select("doc_id", "bm25", "rank")
+
+
+@query(f"with {_RANKED} select doc_id, cast(bm25 as double) as bm25, cast(row_number() over (order by bm25 desc, doc_id desc) as int) as rank from bm qualify rank > 5 and rank <= 15")
+def topk_offset(spark, sf_dir):
+    """Ten documents from the sixth on."""
+    options = RankOptions(output_offset=5, max_outputs=10)
+    return _numbered(ranking.rank(ranking.score(_hits(spark, sf_dir)[0]), options), options).select("doc_id", "bm25", "rank")
+
+
+# -- updates and stores
+
+_OLD = "select * from docs qualify row_number() over (partition by doc_id order by revision nulls first) = 1"
+
+
+@query(f"with {_CUR} select doc_id, case when fields.stars = 0 then null else fields.stars end as stars from cur")
+def remove_document_fields(spark, sf_dir):
+    """Removed documents (here those without stars) stay in the index but lose their scoring fields."""
+    docs = _docs(spark, sf_dir)
+    fields = docs.select("doc_id", "fields")
+    left = ranking.remove_fields(fields, docs.where("fields.stars = 0"))
+    return docs.select("doc_id").join(left, "doc_id", "left").select("doc_id", "fields.stars")
+
+
+@query(f"with {_KEYWORDS.replace(_STOP, 'stop as (select chr(0) as tok)')} select tok, count(*) as df from post group by tok")
+def reindex_replace(spark, sf_dir):
+    """Documents indexed in their first revision, then again in their last: only the last counts."""
+    docs = table(spark, sf_dir, "docs")
+    first = docs.withColumn("revision", -F.col("revision"))
+    with Engine(spark) as engine:
+        engine.index(first)
+        engine.index(docs)
+        return engine.tables()[0].groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _store(spark, mode="upsert"):
+    return ParquetStore(spark, shared_path(spark, "store"), _STORED, mode=mode)
+
+
+_STORED = StructType([StructField("doc_id", LongType()), StructField("content", StringType()), StructField("revision", IntegerType())])
+
+
+@query(f"with {_CUR} select doc_id, content, revision from cur")
+def store_roundtrip(spark, sf_dir):
+    """What is stored comes back."""
+    store = _store(spark)
+    store.set(_docs(spark, sf_dir))
+    return store.recover()
+
+
+@query(f"with {_CUR} select doc_id, content, revision from cur where not (revision > 1)")
+def store_delete(spark, sf_dir):
+    """Deleted documents (here those that were revised) don't."""
+    store = _store(spark)
+    store.set(_docs(spark, sf_dir))
+    store.delete(_docs(spark, sf_dir).where("revision > 1"))
+    return store.recover()
+
+
+@query(f"with {_CUR} select doc_id, content, revision from cur")
+def store_upsert_latest(spark, sf_dir):
+    """Of a document stored twice the later version comes back."""
+    store = _store(spark)
+    store.set(index.current_rows(table(spark, sf_dir, "docs").withColumn("revision", -F.col("revision"))).withColumn("revision", -F.col("revision")))
+    store.set(_docs(spark, sf_dir))
+    return store.recover()
+
+
+_PLAIN = _KEYWORDS.replace(_STOP, "stop as (select chr(0) as tok)").replace("unnest(labels)", "unnest(cast([] as varchar[]))").replace("unnest(tokens)", "unnest(case when false then tokens else [] end)").replace("generate_subscripts(tokens, 1)", "generate_subscripts(case when false then tokens else [] end, 1)")
+
+
+@query(f"with {_PLAIN} select tok, count(*) as df from post group by tok")
+def store_recover(spark, sf_dir):
+    """An engine that starts on a store indexes what it holds."""
+    store = _store(spark)
+    store.set(_docs(spark, sf_dir))
+    with Engine(spark, EngineOptions(storage=store)) as engine:
+        return engine.tables()[0].groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"with {_KEYWORDS.replace(_STOP, 'stop as (select chr(0) as tok)')} select tok, count(*) as df from post group by tok")
+def ingest_documents(spark, sf_dir):
+    """Documents that arrive as a stream of files are indexed like those of one batch."""
+    docs = table(spark, sf_dir, "docs")
+    path = shared_path(spark, "arriving")
+    docs.repartition(4, "doc_id").write.parquet(path)
+    with Engine(spark) as engine:
+        ingest.start_ingest(engine, ingest.document_stream(spark, path, docs.schema), shared_path(spark, "progress"))
+        engine.flush()
+        return engine.tables()[0].groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+# -- the dictionary
+
+_ENTRIES = f"""en as (select {_LOW % 'text'} as text, freq, coalesce(pos, '') as pos, entry_id from dictionary where text <> '' and freq >= 2 qualify row_number() over (partition by {_LOW % 'text'} order by entry_id) = 1)"""
+
+
+def _entries(spark, sf_dir):
+    return segment.load_entries(table(spark, sf_dir, "dictionary"), "text", "freq", "pos", "entry_id")
+
+
+@query(f"with {_ENTRIES} select text, freq, pos from en")
+def dictionary_load(spark, sf_dir):
+    """The entries of the dictionary: the first of each text, frequent enough."""
+    return _entries(spark, sf_dir).select("text", "freq", "pos")
+
+
+@query(f"with {_ENTRIES} select count(*) as num_tokens, cast(coalesce(sum(freq), 0) as bigint) as total_frequency, cast(coalesce(max(len(regexp_extract_all(text, '{_UNIT}'))), 0) as int) as max_token_length from en")
+def dictionary_totals(spark, sf_dir):
+    """Entries, frequencies and the longest entry in units."""
+    return segment.dictionary_totals(_entries(spark, sf_dir))
+
+
+@query(f"with {_ENTRIES}, t as (select sum(freq) as total from en) select text, round(cast(log2(total) as float) - cast(log2(freq) as float), 4) as distance from en, t")
+def token_distance(spark, sf_dir):
+    """What an entry costs on a path."""
+    return _entries(spark, sf_dir).select("text", F.round("distance", 4).alias("distance"))
+
+
+@query(f"""with {_ENTRIES}, q as (select distinct {_LOW % 'text'} as text from dictionary where text <> ''), w as (select text, regexp_extract_all(text, '{_UNIT}') as a from q),
+h as (select text, cast(n as int) as n_words, array_to_string(a[1:n], '') as entry from (select text, a, unnest(range(1, len(a) + 1)) as n from w))
+select text, h.entry, n_words from h where h.entry in (select text from en)""")
+def dict_prefix_lookup(spark, sf_dir):
+    """The entries that begin each text of the dictionary, those too rare to be entries included."""
+    asked = table(spark, sf_dir, "dictionary").select(text.ascii_lower(F.col("text")).alias("text")).where("text <> ''").distinct()
+    entries = materialize(_entries(spark, sf_dir), "entries")
+    return segment.prefix_lookup(text.units(F.col("text")), entries, asked).select("text", "entry", "n_words")
+
+
+@query()
+def segment_dict(spark, sf_dir):
+    """Current contents segmented by the dictionary, which meets them in a join."""
+    entries = materialize(_entries(spark, sf_dir), "entries")
+    found = segment.segment_by_join(_docs(spark, sf_dir), "doc_id", "content", entries)
+    return found.select("doc_id", F.posexplode("segments").alias("n", "s")).select("doc_id", "n", "s.*")
+
+
+def _cut_requests(spark, sf_dir, search=True):
+    lexicon = segment.Lexicon.collect(_entries(spark, sf_dir))
+    asked = table(spark, sf_dir, "requests").select("text").where("text <> ''").distinct()
+    return segment.segment(asked, "text", "text", lexicon, search), lexicon
+
+
+@query()
+def subtoken_expand(spark, sf_dir):
+    """The texts asked for, segmented, with the finer entries inside each."""
+    cuts, lexicon = _cut_requests(spark, sf_dir, False)
+    return segment.expand(cuts, "segments", lexicon).select("text", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query()
+def segments_to_string(spark, sf_dir):
+    """The texts asked for, segmented, with parts of speech."""
+    return _cut_requests(spark, sf_dir)[0].select("text", segment.segments_to_string(F.col("segments")).alias("line"))
+
+
+@query(f"""with {_STOP}, rq as (select distinct on (request_id) request_id, text, tokens from requests),
+a as (select request_id, text, tokens, regexp_extract_all({_LOW % "coalesce(text, '')"}, '{_UNIT}') as a from rq),
+u as (select request_id, unnest(a) as tok, generate_subscripts(a, 1) as i from a where len(a) > 1),
+k as (select request_id, string_agg(tok, '|' order by i) as q from u where tok not in (select tok from stop) group by request_id)
+select a.request_id, case when coalesce(text, '') <> '' then coalesce(k.q, '') else coalesce(array_to_string(tokens, '|'), '') end as tokens from a left join k on k.request_id = a.request_id""")
+def query_tokens(spark, sf_dir):
+    """What each request asks for: its text without stop tokens, or where it is empty its tokens."""
+    rows = table(spark, sf_dir, "requests").dropDuplicates(["request_id"])
+    return rows.select("request_id", F.array_join(requests.asked_tokens(F.col("text"), F.col("tokens"), _stop(spark, sf_dir)), "|").alias("tokens"))
+
+
+@query()
+def storage_shard_hash(spark, sf_dir):
+    """The storage shard of every document."""
+    return _docs(spark, sf_dir).select("doc_id", hashing.storage_shard(F.col("doc_id"), 8).alias("storage_shard"))
+
+
+_CLEAN_REQUESTS = f"""rq as (select distinct on (request_id) * from requests),
+ok as (select * from rq where doc_ids is null or len(doc_ids) = 0 or (len(doc_ids) = 2 and doc_ids[1] <= doc_ids[2])),
+a as (select *, regexp_extract_all({_LOW % "coalesce(text, '')"}, '{_UNIT}') as a from ok),
+q as (select request_id, unnest(a) as tok, 1 as is_tok from a where coalesce(text, '') <> '' and len(a) > 1
+  union all select request_id, unnest(tokens), 1 from a where coalesce(text, '') = ''),
+k as (select request_id, tok, is_tok from q where tok is not null and (tok not in (select tok from stop) or request_id in (select request_id from ok where coalesce(text, '') = ''))
+  union all select request_id, tok, 0 from (select distinct request_id, unnest(labels) as tok from ok) where tok is not null),
+kk as (select request_id, tok, sum(is_tok) as times from k group by request_id, tok),
+need as (select request_id, count(*) as n from kk group by request_id)"""
+
+
+@query(f"""with {_KEYWORDS}, ps as (select tok, doc_id, len(starts) as tf from post), st as (select doc_id, token_length as len_ from len_), df as (select tok, count(*) as df from ps group by tok), g as (select count(*) as n, avg(len_) as a from st), {_CLEAN_REQUESTS},
+hit as (select kk.request_id, p.doc_id, count(*) as m, round(sum(case when p.tf > 0 and g.a <> 0 then kk.times * log2(g.n / df.df + 1) * p.tf * 3.0 / (p.tf + 2.0 * (0.25 + 0.75 * coalesce(st.len_, 0) / g.a)) else 0 end), 6) as bm25
+  from kk join ps p on p.tok = kk.tok join df on df.tok = p.tok left join st on st.doc_id = p.doc_id cross join g group by kk.request_id, p.doc_id),
+r as (select hit.request_id, hit.doc_id, hit.bm25, rq.output_offset as skip, rq.max_outputs as most,
+  row_number() over (partition by hit.request_id order by case when coalesce(rq.reverse_order, false) then hit.bm25 else -hit.bm25 end, hit.doc_id desc) as rank
+  from hit join need on need.request_id = hit.request_id and need.n = hit.m join rq on rq.request_id = hit.request_id
+  where rq.doc_ids is null or len(rq.doc_ids) = 0 or hit.doc_id between rq.doc_ids[1] and rq.doc_ids[2])
+select request_id, cast(rank as int) as rank, doc_id, cast(bm25 as double) as bm25 from r
+where rank > greatest(coalesce(skip, 0), 0) and rank <= greatest(coalesce(skip, 0), 0) + case when coalesce(most, 0) > 0 then most else 10 end""")
+def search_requests(spark, sf_dir):
+    """Every request of the log answered from an index of the current documents, 10 where it sets no limit."""
+    docs, stop = materialize(_docs(spark, sf_dir), "documents"), _stop(spark, sf_dir)
+    postings = materialize(index.build_postings(docs, stop, IndexType.FREQUENCIES), "postings")
+    return requests.search_all(table(spark, sf_dir, "requests"), postings, index.doc_stats(docs), stop)
