@@ -190,6 +190,13 @@ def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, sear
     return base.join(hits, "k", "left").select("k", "t", "hits").mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
 
 
+def segment_by(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True, most: int = BROADCAST_ENTRIES) -> DataFrame:
+    """``segment`` where the dictionary has at most ``most`` entries (they are counted first), else ``segment_by_join``."""
+    if entries.limit(most + 1).count() <= most:
+        return segment(df, key, text, Lexicon.collect(entries, most), search)
+    return segment_by_join(df, key, text, entries, search)
+
+
 def segments_to_string(segments: Column) -> Column:
     """Each segment as 'text/pos ', in a row."""
     return F.array_join(F.transform(segments, lambda s: F.concat(s["text"], F.lit("/"), s["pos"], F.lit(" "))), "")

@@ -157,21 +157,27 @@ class Engine:
         docs = rk.rank(rk.score(hits, self._fields, options.scorer), options)
         if request.timeout_ms <= 0:
             return SearchResponse(tokens, docs)
-        group, context = f"search-{uuid.uuid4().hex}", self.spark.sparkContext
-        timer = threading.Timer(request.timeout_ms / 1000, lambda: context.cancelJobGroup(group))
-        late = threading.Event()
-        timer.function = lambda: (late.set(), context.cancelJobGroup(group))
+        group, context, late = f"search-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+        timer = threading.Timer(request.timeout_ms / 1000, stop)
         context.setJobGroup(group, "search", interruptOnCancel=True)
         timer.start()
+        found = None
         try:
-            return SearchResponse(tokens, materialize(docs, "found"))
+            found = materialize(docs, "found")
         except Exception:
             if not late.is_set():
                 raise
-            return SearchResponse(tokens, self.spark.createDataFrame([], docs.schema), timeout=True)
         finally:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)
+        if found is None or late.is_set():
+            return SearchResponse(tokens, self.spark.createDataFrame([], docs.schema), timeout=True)
+        return SearchResponse(tokens, found)
 
 
 __all__ = ["Engine", "EngineOptions", "IndexType", "RankOptions", "SearchRequest", "SearchResponse", "query_tokens"]

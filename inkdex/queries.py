@@ -550,9 +550,9 @@ def dict_prefix_lookup(spark, sf_dir):
 
 @query()
 def segment_dict(spark, sf_dir):
-    """Current contents segmented by the dictionary, which meets them in a join."""
+    """Current contents segmented by the dictionary, which goes to every task if it is small enough and else meets them in a join."""
     entries = materialize(_entries(spark, sf_dir), "entries")
-    found = segment.segment_by_join(_docs(spark, sf_dir), "doc_id", "content", entries)
+    found = segment.segment_by(_docs(spark, sf_dir), "doc_id", "content", entries)
     return found.select("doc_id", F.posexplode("segments").alias("n", "s")).select("doc_id", "n", "s.*")
 
 
