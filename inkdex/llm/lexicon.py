@@ -153,7 +153,7 @@ class Transducer:
         state, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         active, step = np.arange(len(words)), 0
         if not len(self.edge):
-            return np.full(len(words), -1)
+            return np.where((sizes == 0) & self.final[0], 0, -1)
         while len(active := active[sizes[active] > step]):
             key = state[active] * 256 + flat[first[active] + step]
             at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)

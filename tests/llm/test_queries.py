@@ -1,0 +1,15 @@
+"""The registered queries against their SQL; the others run."""
+
+import pytest
+
+from inkdex.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_agrees_with_sql(agrees, name):
+    agrees(queries.QUERIES, queries.SQL, name)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_runs(spark, data, name):
+    assert queries.QUERIES[name](spark, data).count() > 0
