@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkdex.functions.scoring import bm25_term
 from inkdex.functions.text import search_units
 from inkdex.model import BM25Parameters
+from inkdex.runtime import materialize
 
 
 def asked_tokens(text: Column, tokens: Column, stop: list[str]) -> Column:
@@ -40,19 +41,21 @@ def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop:
     rows = rows.select("request_id", asked_tokens(F.col("text"), F.col("tokens"), stop).alias("q"), F.array_distinct(F.filter(F.coalesce("labels", none), lambda x: x.isNotNull())).alias("l"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(0))).alias("lo"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(1))).alias("hi"), F.coalesce("reverse_order", F.lit(False)).alias("rev"), F.greatest(F.coalesce("output_offset", F.lit(0)), F.lit(0)).alias("skip"), F.coalesce("max_outputs", F.lit(0)).alias("most"))
     rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(F.lit(default_outputs)))
     rows = rows.withColumn("question", F.to_json(F.struct("q", "l", "lo", "hi", "rev", "skip", "most"), {"ignoreNullFields": "false"}))
-    asked = rows.dropDuplicates(["question"]).drop("request_id").where(F.size("q") + F.size("l") > 0)
-    keys = asked.select("question", "lo", "hi", F.explode(F.array_distinct(F.concat("q", "l"))).alias("tok"), "q").select("question", "lo", "hi", "tok", F.size(F.filter("q", lambda x: x == F.col("tok"))).alias("times"))
+    asked = rows.groupBy("question").agg(F.min("request_id").alias("qid"), *[F.first(c).alias(c) for c in ("q", "l", "lo", "hi", "rev", "skip", "most")]).where(F.size("q") + F.size("l") > 0)
+    asked = materialize(asked, "questions")
+    keys = asked.select("qid", "lo", "hi", F.explode(F.array_distinct(F.concat("q", "l"))).alias("tok"), "q").select("qid", "lo", "hi", "tok", F.size(F.filter("q", lambda x: x == F.col("tok"))).alias("times"))
     df = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     keys = keys.join(df, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per = Window.partitionBy("question")
+    per = Window.partitionBy("qid")
     keys = keys.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("least", F.min("df").over(per)).withColumn("first", F.row_number().over(per.orderBy("df", "tok"))).where("least > 0")
-    found = keys.where("first = 1").join(postings.select("tok", "doc_id"), "tok").where("lo is null or doc_id between lo and hi").select("question", "doc_id")
-    pairs = found.join(keys.select("question", "tok", "times", "df", "n"), "question").join(postings.select("tok", "doc_id", "tf"), ["tok", "doc_id"])
+    keys = materialize(keys, "keys")
+    found = keys.where("first = 1").join(postings.select("tok", "doc_id"), "tok").where("lo is null or doc_id between lo and hi").select("qid", "doc_id")
+    pairs = found.join(keys.select("qid", "tok", "times", "df", "n"), "qid").join(postings.select("tok", "doc_id", "tf"), ["tok", "doc_id"])
     total = stats.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("token_length"), F.lit(0.0)).alias("average"))
     pairs = pairs.join(stats, "doc_id", "left").crossJoin(F.broadcast(total))
     term = F.col("times") * bm25_term(F.col("tf"), F.col("df"), F.coalesce("token_length", F.lit(0.0)), F.col("n_docs"), F.col("average"), bm25)
-    hits = pairs.groupBy("question", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.round(F.sum(term), 6).alias("bm25")).where("m = n")
-    hits = hits.join(asked.select("question", "rev", "skip", "most"), "question")
+    hits = pairs.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.round(F.sum(term), 6).alias("bm25")).where("m = n")
+    hits = hits.join(asked.select("qid", "rev", "skip", "most"), "qid")
     sign = F.when(F.col("rev"), F.col("bm25")).otherwise(-F.col("bm25"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(sign, F.col("doc_id").desc()))).where("rank > skip and rank <= skip + most")
-    return rows.select("request_id", "question").join(ranked.select("question", "rank", "doc_id", "bm25"), "question").drop("question")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(sign, F.col("doc_id").desc()))).where("rank > skip and rank <= skip + most")
+    return rows.select("request_id", "question").join(asked.select("question", "qid"), "question").join(ranked.select("qid", "rank", "doc_id", "bm25"), "qid").select("request_id", "rank", "doc_id", "bm25")
