@@ -38,8 +38,8 @@ def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop:
     """
     none = F.array().cast("array<string>")
     rows = requests.dropDuplicates(["request_id"]).where(valid_range(F.col("doc_ids")))
-    rows = rows.select("request_id", asked_tokens(F.col("text"), F.col("tokens"), stop).alias("q"), F.array_distinct(F.filter(F.coalesce("labels", none), lambda x: x.isNotNull())).alias("l"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(0))).alias("lo"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(1))).alias("hi"), F.coalesce("reverse_order", F.lit(False)).alias("rev"), F.greatest(F.coalesce("output_offset", F.lit(0)), F.lit(0)).alias("skip"), F.coalesce("max_outputs", F.lit(0)).alias("most"))
-    rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(F.lit(default_outputs)))
+    rows = rows.select("request_id", asked_tokens(F.col("text"), F.col("tokens"), stop).alias("q"), F.array_distinct(F.filter(F.coalesce("labels", none), lambda x: x.isNotNull())).alias("l"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(0))).alias("lo"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(1))).alias("hi"), F.coalesce("reverse_order", F.lit(False)).alias("rev"), F.greatest(F.coalesce("output_offset", F.lit(0)), F.lit(0)).cast("bigint").alias("skip"), F.coalesce("max_outputs", F.lit(0)).cast("bigint").alias("most"))
+    rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(F.lit(default_outputs).cast("bigint")))
     rows = rows.withColumn("question", F.to_json(F.struct("q", "l", "lo", "hi", "rev", "skip", "most"), {"ignoreNullFields": "false"}))
     asked = rows.groupBy("question").agg(F.min("request_id").alias("qid"), *[F.first(c).alias(c) for c in ("q", "l", "lo", "hi", "rev", "skip", "most")]).where(F.size("q") + F.size("l") > 0)
     asked = materialize(asked, "questions")
