@@ -27,21 +27,21 @@ WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 @dataclass(frozen=True)
 class MinMax:
-    """Parameters of the search; the defaults miss a pair at the threshold of 0.6 with probability 0.05 %.
+    """Parameters of the search; the defaults miss a pair at the threshold of 0.6 with probability 0.04 %.
 
-    ``rows`` must be even (a permutation gives two values). ``slack``: sketches of 256 bits may differ in as many bits
+    ``slack``: sketches of 256 bits may differ in as many bits
     as are expected at the threshold plus so many standard deviations (4: one in 30,000 such pairs is lost).
     """
 
     threshold: float = 0.6
     size: int = 5
-    bands: int = 160
-    rows: int = 6
+    bands: int = 96
+    rows: int = 5
     slack: float = 4.0
 
     @property
     def permutations(self) -> int:
-        return self.bands * self.rows // 2
+        return (self.bands * self.rows + 1) // 2
 
     @property
     def most_bits(self) -> int:
@@ -96,22 +96,20 @@ def signature(texts: list[str], p: MinMax) -> tuple[np.ndarray, np.ndarray, np.n
     short = (h >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(20_11)
     xor, odd = rng.integers(0, 1 << 32, p.permutations, dtype=np.uint32), rng.integers(0, 1 << 31, p.permutations, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    least, most = np.empty((p.permutations, len(texts)), np.uint32), np.empty((p.permutations, len(texts)), np.uint32)
+    values = np.empty((2 * p.permutations, len(texts)), np.uint32)  # of each permutation the least and the greatest
     work = np.empty_like(short)
     for k in range(p.permutations):
         np.multiply(np.bitwise_xor(short, xor[k], out=work), odd[k], out=work)
-        least[k], most[k] = np.minimum.reduceat(work, starts), np.maximum.reduceat(work, starts)
-    half = p.rows // 2
+        values[2 * k], values[2 * k + 1] = np.minimum.reduceat(work, starts), np.maximum.reduceat(work, starts)
     keys = np.empty((len(texts), p.bands), np.int64)
     for b in range(p.bands):
         key = np.full(len(texts), b + 1, np.uint64)
-        for k in range(b * half, b * half + half):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + ((least[k].astype(np.uint64) << np.uint64(32)) | most[k]))
+        for v in values[b * p.rows : (b + 1) * p.rows]:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + v)
         keys[:, b] = key.view(np.int64)
     sketch = np.zeros((len(texts), len(WORDS)), np.uint64)
     for k in range(SKETCH):  # one bit of each of as many values
-        v = (least if k % 2 == 0 else most)[(k // 2) % p.permutations]
-        bit = (v * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+        bit = (values[k % len(values)] * np.uint32(0x85EBCA6B)) >> np.uint32(31)
         sketch[:, k // 64] |= bit.astype(np.uint64) << np.uint64(k % 64)
     return _distinct(h, starts), sketch.view(np.int64), keys
 
@@ -188,7 +186,7 @@ class NearDuplicates:
         both = copies.unionByName(other)
         return both.select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
 
-    def groups(self, most_rounds: int = 60) -> DataFrame:
+    def groups(self, most_rounds: int = 200) -> DataFrame:
         """One row per record: (k, rep, n_links of its text, group_id = least key that links lead to).
 
         Labels travel along links and are halved by pointer jumping, so rounds grow with the logarithm of a chain;
