@@ -81,13 +81,12 @@ def _hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many distinct hashes each text has."""
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return np.bincount(owner[new], minlength=len(starts))
+    """How many distinct hashes each text has, but for rare collisions: one sort of words of text number and hash."""
+    bits = max(len(starts).bit_length(), 1)
+    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+    both = np.sort((owner << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+    new = np.concatenate(([True], both[1:] != both[:-1]))
+    return np.bincount((both[new] >> np.uint64(64 - bits)).astype(np.int64), minlength=len(starts))
 
 
 def signature(texts: list[str], p: MinMax) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +146,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, p: MinMax) -> DataFrame
     signed = base.mapInArrow(sign, f"k {kind}, n int, {', '.join(f'{w} bigint' for w in WORDS)}, bands array<bigint>")
     rows = signed.select("k", "n", *WORDS, F.explode("bands").alias("bucket"))
     a, b = rows.alias("a").hint("merge"), rows.alias("b")
-    close = (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(p.threshold) - 1e-9)
+    close = (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(0.99 * p.threshold))
     close &= sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in WORDS), F.lit(0)) <= p.most_bits
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & close).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
 
