@@ -15,15 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkdex.llm.words import hashed_words, mix, runs, words_of
+from inkdex.llm.words import blocks, hashed_words, mix, runs, words_of
 
 RUN, SHINGLE = 12, 5
 #: Item text that is broadcast at most, in characters; beyond it signatures and candidates are joined by shuffle.
 BROADCAST_CHARS = 16 << 20
+#: Characters that a task splits into words at once.
+BLOCK = 1 << 20
 
 
 def signatures(texts: list[str | None], run: int = RUN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (text index, window minimum) of all windows of ``run`` words, as two arrays."""
+    parts = [(lo, _signatures(texts[lo:hi], run, shingle)) for lo, hi in blocks(texts, BLOCK)]
+    return np.concatenate([o + lo for lo, (o, _) in parts] or [np.zeros(0, np.int64)]), np.concatenate([s for _, (_, s) in parts] or [np.zeros(0, np.int64)])
+
+
+def _signatures(texts: list[str | None], run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, owner = hashed_words(texts)
     shingles, _ = runs(hashes, owner, shingle)
     shingles = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))

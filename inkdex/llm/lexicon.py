@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkdex.llm.words import blocks
 from inkdex.runtime import ship_file
 
 #: Fixed value of the public tokenizer: the pattern that splits a text into pieces.
@@ -29,6 +30,8 @@ LEXICON_WORDS = 1 << 16
 WORD_BYTES = 48
 #: Distinct pieces that a task counts before it hands on what it has.
 FLUSH = 200_000
+#: Characters that a task splits into pieces at once.
+BLOCK = 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -190,6 +193,13 @@ def _count_pieces(batches):
     yield rows()
 
 
+def _smaller(batches):
+    """Batches of (key, text) cut so that their texts have about ``BLOCK`` characters."""
+    for b in batches:
+        for lo, hi in blocks(b.column(1).to_pylist(), BLOCK):
+            yield b.slice(lo, hi - lo)
+
+
 def frequent_pieces(df: DataFrame, text: str, words: int = LEXICON_WORDS) -> list[str]:
     """The ``words`` most frequent pieces of all texts that occur more than once (ties: in order of their bytes)."""
     counts = df.select(F.col(text).alias("t")).where("t <> ''").mapInArrow(_count_pieces, "piece string, n bigint")
@@ -213,7 +223,7 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary_path: str | None =
     def run(batches):
         split, lexicon, merge = _split(), _opened(name), _encoder(path).encode_ordinary
         known: dict[str, int] = {}  # piece -> its place in starts/sizes of this task's table
-        for b in batches:
+        for b in _smaller(batches):
             texts = b.column(1).to_pylist()
             found = [split(t) if t else [] for t in texts]
             new = [p for p in dict.fromkeys(p for x in found for p in x) if p not in known]

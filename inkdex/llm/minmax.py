@@ -9,7 +9,6 @@ verified on the texts' whole shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkdex.llm.words import mix
+from inkdex.llm.words import blocks, mix
 from inkdex.runtime import materialize
 
+#: Characters that are signed together: as many as stay in a core's cache while all permutations run over them.
+BLOCK = 1 << 17
 #: Bits of the sketches, in words of 64.
 SKETCH = 256
 WORDS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -113,18 +114,6 @@ def signature(texts: list[str], p: MinMax) -> tuple[np.ndarray, np.ndarray, np.n
     return _distinct(h, starts), sketch.view(np.int64), keys
 
 
-def _in_blocks(texts: list[str], chars: int = 1 << 17) -> Iterator[tuple[int, int]]:
-    """Slices of about as many characters as stay in a core's cache while all permutations run over them."""
-    begin, total = 0, 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield begin, k + 1
-            begin, total = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def similar_pairs(texts: DataFrame, key: str, text: str, p: MinMax) -> DataFrame:
     """Pairs (a, b), a < b, of keys whose texts have a similarity of ``p.threshold`` or more.
 
@@ -135,7 +124,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, p: MinMax) -> DataFrame
     def sign(batches):
         for b in batches:
             rows = [(k, t) for k, t in enumerate(b.column(1).to_pylist()) if t is not None and len(t) >= p.size]
-            for lo, hi in _in_blocks([t for _, t in rows]):
+            for lo, hi in blocks([t for _, t in rows], BLOCK):
                 n, sketch, keys = signature([t for _, t in rows[lo:hi]], p)
                 ids = b.column(0).take(pa.array([k for k, _ in rows[lo:hi]]))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, p.bands, dtype=np.int32)), pa.array(keys.ravel()))

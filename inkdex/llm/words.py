@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,3 +41,15 @@ def runs(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray,
     for k in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
     return out, owner[:n] == owner[size - 1 :]
+
+
+def blocks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Slices (begin, end) of the texts with about so many characters each, or one longer text: bounds a task's memory."""
+    begin, total = 0, 0
+    for k, t in enumerate(texts):
+        total += len(t) if t else 0
+        if total >= chars:
+            yield begin, k + 1
+            begin, total = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
