@@ -76,7 +76,7 @@ class EngineOptions:
     bm25: BM25Parameters = BM25Parameters()
     num_shards: int = 1
     stop_tokens: tuple[str, ...] = ()
-    dictionary: Any = None  # a segmentation dictionary, see operators.segment
+    dictionary: Any = None  # operators.segment.Lexicon, or the entries as a DataFrame where they are too many for one
     storage: Any = None  # a document store, see sources.store
     upsert_mode: str = "replace"  # or "merge": postings of dropped keywords stay
     compat_truncate: bool = False  # a located index ends a lookup at the first document without locations

@@ -24,12 +24,13 @@ def _kept(tok: Column, stop: list[str]) -> Column:
 
 
 def _content(docs: DataFrame, dictionary: seg.Lexicon | DataFrame | None) -> DataFrame:
-    """(doc_id, content_units array<struct<tok, start>>) added to the rows; null where the content is empty."""
+    """Adds ``_u``, the texts of the content's tokens in order; null where the content is empty."""
     there = F.coalesce(F.col("content"), F.lit("")) != ""
     if dictionary is None:
         return docs.withColumn("_u", F.when(there, split_words(ascii_lower(F.col("content")))))
-    cut = seg.segment if isinstance(dictionary, seg.Lexicon) else seg.segment_by_join
-    cuts = cut(docs.select("doc_id", "content"), "doc_id", "content", dictionary).withColumn("_u", F.transform("segments", lambda s: s["text"])).drop("segments")
+    if isinstance(dictionary, seg.Lexicon):
+        return docs.withColumn("_u", seg.cut_column(F.when(there, F.col("content")), dictionary, docs.sparkSession))
+    cuts = seg.segment_by_join(docs.select("doc_id", "content"), "doc_id", "content", dictionary).select("doc_id", F.transform("segments", lambda s: s["text"]).alias("_u"))
     return docs.join(cuts, "doc_id").withColumn("_u", F.when(there, F.col("_u")))
 
 

@@ -12,7 +12,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkdex.functions.text import LOWER, UNIT, UPPER, ascii_lower, units
@@ -163,6 +163,18 @@ def segment(df: DataFrame, key: str, text: str, lexicon: Lexicon, search: bool =
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
 
 
+def cut_column(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
+    """The texts of the search-mode segments of a column, array<string>, where no key is at hand to join by; null stays null."""
+    side = spark.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        lex = side.value
+        return texts.map(lambda t: None if t is None else [s for s, *_ in lex.cut(t)])
+
+    return run(text)
+
+
 def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True) -> DataFrame:
     """The same as ``segment`` for dictionaries of any size: runs of units meet the entries in a join.
 

@@ -17,12 +17,16 @@ from inkdex.operators import segment as seg
 from inkdex.runtime import materialize
 
 
-def query_tokens(request: SearchRequest, stop: list[str] | tuple[str, ...] = (), dictionary: seg.Lexicon | None = None) -> list[str]:
+def query_tokens(request: SearchRequest, stop: list[str] | tuple[str, ...] = (), dictionary: seg.Lexicon | DataFrame | None = None) -> list[str]:
     """The tokens a request asks for: its text in search mode without stop tokens, or where it is empty its tokens as they stand."""
     if not request.text:
         return list(request.tokens)
-    cut = (dictionary or seg.Lexicon()).cut(request.text, True)
-    return [t for t, *_ in cut if t not in set(stop)]
+    if isinstance(dictionary, DataFrame):
+        one = dictionary.sparkSession.createDataFrame([(0, request.text)], "id int, content string")
+        cut = [s.text for s in seg.segment_by_join(one, "id", "content", dictionary).first().segments]
+    else:
+        cut = [t for t, *_ in (dictionary or seg.Lexicon()).cut(request.text)]
+    return [t for t in cut if t not in set(stop)]
 
 
 class Engine:
@@ -148,7 +152,7 @@ class Engine:
         With one, the plan runs at once; if it isn't done in time its jobs are cancelled and no documents come back.
         """
         o, options = self.options, request.rank_options
-        tokens = query_tokens(request, o.stop_tokens, o.dictionary if isinstance(o.dictionary, seg.Lexicon) else None)
+        tokens = query_tokens(request, o.stop_tokens, o.dictionary)
         postings, stats = self.tables()
         shard = None
         if o.num_shards > 1:

@@ -225,6 +225,22 @@ def test_odd_documents(spark):
         assert e.search(SearchRequest(tokens=["a"])).docs.count() == 0 and index.corpus_stats(e.tables()[1]).first().n_docs == 0
 
 
+def test_dictionary(spark):
+    from inkdex.operators import segment as seg
+
+    raw = spark.createDataFrame([("中国", 80), ("人口", 30), ("有", 90), ("人口多", 9)], "text string, freq int")
+    entries = seg.load_entries(raw.withColumn("pos", F.lit("n")), "text", "freq", "pos", "text").cache()
+    rows = spark.createDataFrame([(1, "中国有十三亿人口"), (2, "中国人口多"), (3, "中国"), (4, None), (5, "国中有人")], "doc_id bigint, content string")
+    for dictionary in (seg.Lexicon.collect(entries), entries):
+        with Engine(spark, EngineOptions(dictionary=dictionary, index_type=IndexType.LOCATIONS)) as e:
+            e.index(rows)
+            postings, stats = e.tables()
+            assert {(r.tok, tuple(r.starts)) for r in postings.where("doc_id = 1").collect()} == {("中国", (0,)), ("有", (6,)), ("十", (9,)), ("三", (12,)), ("亿", (15,)), ("人口", (18,))}
+            assert {r.doc_id: r.token_length for r in stats.collect()} == {1: 6, 2: 2, 3: 2, 4: 0, 5: 4}
+            assert e.search(SearchRequest(text="中国人口")).tokens == ["中国", "人口"]
+            assert [d for d, _ in found(e, text="中国人口")] == [1] and [d for d, _ in found(e, tokens=["人口多"])] == [2]
+
+
 def test_requests_in_bulk(spark, counted):
     schema = "request_id bigint, text string, tokens array<string>, labels array<string>, doc_ids array<bigint>, reverse_order boolean, output_offset int, max_outputs int"
     asked = [(1, "red apple", None, None, None, False, 0, 2), (1, "red apple", None, None, None, False, 0, 2), (2, None, ["red"], ["fruit"], [1, 2], True, 0, 0), (3, "apple", None, None, None, None, None, None), (4, "red apple", None, None, [2, 1], False, 0, 5), (5, None, None, None, None, None, None, None), (6, "red zebra", None, [None], [], False, 0, 5), (7, "Red  apple", [], [], None, False, 1, 2)]
