@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _FAR = np.iinfo(np.int64).max
 
@@ -66,9 +65,3 @@ def add_proximity(df: DataFrame, tokens: list[str], locations: str = "token_loca
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{schema}, token_proximity int, token_snippet_locations array<int>")
-
-
-def proximity_of_two(first: str, second: str, size: int):
-    """The same for two different tokens as a JVM expression: the least distance over all pairs of places."""
-    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.abs(b - a - F.lit(size)))))
-    return F.array_min(pairs)

@@ -185,6 +185,28 @@ def test_store(spark, docs, tmp_path):
             assert sorted(found(e, text="red apple")) == sorted(found(plain, text="red apple"))
 
 
+def test_jdbc_store(spark):
+    from inkdex.sources.store import JdbcStore
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("content", StringType())])
+    s = JdbcStore(spark, "jdbc:derby:memory:inkdex;create=true", "docs", schema)
+    s.create()
+    s.create()
+    assert s.recover().count() == 0
+    s.set(spark.createDataFrame([(1, "a"), (2, None)], schema))
+    assert sorted((r[0], r[1]) for r in s.recover().collect()) == [(1, "a"), (2, None)]
+
+
+def test_postings_on_disk(spark, counted, tmp_path):
+    postings, stats = counted.tables()
+    index.write_postings(postings, str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted(back.collect()) == sorted(postings.collect())
+    plan = lookup.matching(back, ["red", "apple"], (1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(tok" in plan and "GreaterThanOrEqual(doc_id" in plan
+    assert {r.doc_id for r in lookup.matching(back, ["red", "apple"], (1, 2)).collect()} == {1, 2}
+
+
 def test_proximity_properties():
     rng = np.random.default_rng(5)
     for _ in range(300):  # tokens don't overlap, so that the nearest places give the true minimum

@@ -29,6 +29,10 @@ def test_units(spark):
     assert one == [[]]
 
 
+def test_token_text(spark):
+    assert spark.range(1).select(text.token_text(text.units(F.lit("Ab 中")))).first()[0] == "ab 中"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_units_join_to_the_lowered_text(t):
