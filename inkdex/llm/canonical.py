@@ -54,8 +54,6 @@ _SILENT = frozenset(SILENT)
 @lru_cache(1 << 16)
 def _fold(c: str) -> str:
     """What a character looks like, in decomposed form."""
-    if c in "  ":
-        return c
     if unicodedata.category(c) == "Zs":
         return " "
     if _silent(c):
@@ -105,7 +103,7 @@ def _unstable() -> re.Pattern:
 
 
 def canonical_text(text: str) -> str:
-    """The canonical form of one text: equal for two texts exactly when their characters look the same in print."""
+    """The canonical form of one text: two texts look the same in print when their forms are equal."""
     return _unstable().sub(lambda m: _normal(m[0]), text)
 
 
