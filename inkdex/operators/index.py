@@ -83,17 +83,22 @@ def build_postings(docs: DataFrame, stop: list[str] = (), index_type: IndexType
     if index_type == IndexType.DOC_IDS:
         return rows.select("tok", "doc_id").distinct()
     if index_type == IndexType.FREQUENCIES:  # counts alone, no lists
-        n = F.when(F.max("kind") == 2, 0).otherwise(F.coalesce(F.size(given).cast("bigint"), F.count("start")))
+        n_given = F.max_by(F.when(F.col("kind") == 1, F.size("starts")), F.when(F.col("kind") == 1, F.col("pos")))
+        n = F.when(F.max("kind") == 2, 0).otherwise(F.coalesce(n_given.cast("bigint"), F.count("start")))
         return rows.groupBy("doc_id", "tok").agg(n.cast("float").alias("tf")).select("tok", "doc_id", "tf")
     return rows.groupBy("doc_id", "tok").agg(starts.alias("starts")).select("tok", "doc_id", F.size("starts").cast("float").alias("tf"), "starts")
 
 
 def clean_postings(postings: DataFrame) -> DataFrame:
     """Each (tok, doc_id) once: (tok, doc_id, tf double, starts). Null or empty toks and null doc_ids are left out; null, NaN
-    and negative tf count 0; null starts are empty. Repeats are exact (else the greatest tf and its starts count)."""
+    and negative tf count 0; null starts are empty. Repeats are exact (else the greatest tf and the greatest starts count).
+
+    Rows are shuffled once, by document, which also serves what is grouped by document afterwards; filters on tok and
+    doc_id go through it to the scan, and starts are only read where they are used.
+    """
     tf = F.coalesce(F.col("tf").cast("double"), F.lit(0.0))
     rows = postings.select("tok", "doc_id", F.when((tf > 0) & ~F.isnan(tf), tf).otherwise(F.lit(0.0)).alias("tf"), F.coalesce(F.col("starts"), F.array().cast(NO_STARTS)).alias("starts")).where("tok <> '' and doc_id is not null")
-    return rows.groupBy("tok", "doc_id").agg(F.max(F.struct("tf", "starts")).alias("m")).select("tok", "doc_id", "m.tf", "m.starts")
+    return rows.repartition("doc_id").groupBy("tok", "doc_id").agg(F.max("tf").alias("tf"), F.max("starts").alias("starts"))
 
 
 def clean_stats(stats: DataFrame) -> DataFrame:
