@@ -23,6 +23,13 @@ def _kept(tok: Column, stop: list[str]) -> Column:
     return there & ~tok.isin(stop) if stop else there
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """By document, over as many partitions as the session shuffles into: exploding multiplies the rows, so that adaptive
+    coalescing by the size of the texts would leave too few."""
+    spark = docs.sparkSession
+    return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "doc_id")
+
+
 def _content(docs: DataFrame, dictionary: seg.Lexicon | DataFrame | None) -> DataFrame:
     """Adds ``_u``, the texts of the content's tokens in order; null where the content is empty."""
     there = F.coalesce(F.col("content"), F.lit("")) != ""
@@ -58,14 +65,14 @@ def tokenize(docs: DataFrame, dictionary: seg.Lexicon | DataFrame | None = None)
 
     Search mode: a content of one unit has no tokens. Null and empty contents have none. doc_id must be unique.
     """
-    rows = _located(docs.select("doc_id", "content"), dictionary).where("kind = 0")
+    rows = _located(_spread(docs.select("doc_id", "content")), dictionary).where("kind = 0")
     return rows.select("doc_id", "pos", "tok", "start", (F.col("start") + F.octet_length("tok")).cast("int").alias("end"))
 
 
 def doc_stats(docs: DataFrame, dictionary: seg.Lexicon | DataFrame | None = None) -> DataFrame:
     """(doc_id, token_length float) of every document: all its tokens, stop tokens too; 0 without any."""
     n = F.sum(F.when(F.col("kind") < 2, 1).otherwise(0))
-    return _located(docs, dictionary).groupBy("doc_id").agg(n.cast("float").alias("token_length"))
+    return _located(_spread(docs), dictionary).groupBy("doc_id").agg(n.cast("float").alias("token_length"))
 
 
 def build_postings(docs: DataFrame, stop: list[str] = (), index_type: IndexType = IndexType.LOCATIONS, dictionary: seg.Lexicon | DataFrame | None = None) -> DataFrame:
@@ -77,7 +84,7 @@ def build_postings(docs: DataFrame, stop: list[str] = (), index_type: IndexType
 
     Documents are shuffled once, by doc_id, before their tokens are exploded; grouping then needs no further exchange.
     """
-    rows = _located(docs.repartition("doc_id"), dictionary).where(F.col("kind").isNotNull() & _kept(F.col("tok"), list(stop)))
+    rows = _located(_spread(docs), dictionary).where(F.col("kind").isNotNull() & _kept(F.col("tok"), list(stop)))
     given = F.max_by(F.when(F.col("kind") == 1, F.col("starts")), F.when(F.col("kind") == 1, F.col("pos")))
     starts = F.when(F.max("kind") == 2, F.array().cast(NO_STARTS)).otherwise(F.coalesce(given, F.sort_array(F.collect_list("start"))))
     if index_type == IndexType.DOC_IDS:

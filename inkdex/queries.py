@@ -370,7 +370,7 @@ _FIELDS = "left join (select doc_id, fields from cur) f on f.doc_id = bm.doc_id"
 
 def _hits(spark, sf_dir, tokens=("most", "these")):
     docs = materialize(_docs(spark, sf_dir), "documents")
-    postings = index.build_postings(docs, _stop(spark, sf_dir), IndexType.FREQUENCIES)
+    postings = materialize(index.build_postings(docs, _stop(spark, sf_dir), IndexType.FREQUENCIES), "postings")
     return lookup.lookup(postings, index.doc_stats(docs), list(tokens)).withColumn("bm25", F.round("bm25", 6)), docs.select("doc_id", "fields")
 
 
