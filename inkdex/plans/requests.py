@@ -24,13 +24,12 @@ def valid_range(doc_ids: Column) -> Column:
     return doc_ids.isNull() | (F.size(doc_ids) == 0) | ((F.size(doc_ids) == 2) & (F.get(doc_ids, F.lit(0)) <= F.get(doc_ids, F.lit(1))))
 
 
-def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop: list[str], bm25: BM25Parameters = BM25Parameters(), default_outputs: int = 10) -> DataFrame:
+def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop: list[str], bm25: BM25Parameters = BM25Parameters()) -> DataFrame:
     """The ranked documents of every request: (request_id, rank int, doc_id, bm25).
 
     ``requests`` as in the log (request_id, text, tokens, labels, doc_ids, reverse_order, output_offset, max_outputs);
     repeats of a request_id count once; requests with a malformed range or without any key find nothing; a null or
-    zero ``max_outputs`` takes ``default_outputs`` documents, since a batch has to bound its report. ``postings`` and
-    ``stats`` are clean.
+    zero ``max_outputs`` sets no limit, as in ``ranking.rank``. ``postings`` and ``stats`` are clean.
 
     Requests that ask the same are answered once. Of each question the rarest key is looked up first and the other
     keys only have to agree with what it found, so that the length of a common key's list never multiplies; the
@@ -39,7 +38,7 @@ def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop:
     none = F.array().cast("array<string>")
     rows = requests.dropDuplicates(["request_id"]).where(valid_range(F.col("doc_ids")))
     rows = rows.select("request_id", asked_tokens(F.col("text"), F.col("tokens"), stop).alias("q"), F.array_distinct(F.filter(F.coalesce("labels", none), lambda x: x.isNotNull())).alias("l"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(0))).alias("lo"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(1))).alias("hi"), F.coalesce("reverse_order", F.lit(False)).alias("rev"), F.greatest(F.coalesce("output_offset", F.lit(0)), F.lit(0)).cast("bigint").alias("skip"), F.coalesce("max_outputs", F.lit(0)).cast("bigint").alias("most"))
-    rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(F.lit(default_outputs).cast("bigint")))
+    rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")))
     rows = rows.withColumn("question", F.to_json(F.struct("q", "l", "lo", "hi", "rev", "skip", "most"), {"ignoreNullFields": "false"}))
     asked = rows.groupBy("question").agg(F.min("request_id").alias("qid"), *[F.first(c).alias(c) for c in ("q", "l", "lo", "hi", "rev", "skip", "most")]).where(F.size("q") + F.size("l") > 0)
     asked = materialize(asked, "questions")
@@ -57,5 +56,5 @@ def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop:
     hits = pairs.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.round(F.sum(term), 6).alias("bm25")).where("m = n")
     hits = hits.join(asked.select("qid", "rev", "skip", "most"), "qid")
     sign = F.when(F.col("rev"), F.col("bm25")).otherwise(-F.col("bm25"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(sign, F.col("doc_id").desc()))).where("rank > skip and rank <= skip + most")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(sign, F.col("doc_id").desc()))).where("rank > skip and (most is null or rank <= skip + most)")
     return rows.select("request_id", "question").join(asked.select("question", "qid"), "question").join(ranked.select("qid", "rank", "doc_id", "bm25"), "qid").select("request_id", "rank", "doc_id", "bm25")

@@ -613,7 +613,7 @@ r as (select hit.request_id, hit.doc_id, hit.bm25, rq.output_offset as skip, rq.
 select request_id, cast(rank as int) as rank, doc_id, cast(bm25 as double) as bm25 from r
 where rank > greatest(coalesce(skip, 0), 0) and rank <= greatest(coalesce(skip, 0), 0) + case when coalesce(most, 0) > 0 then most else 10 end""")
 def search_requests(spark, sf_dir):
-    """Every request of the log answered from an index of the current documents, 10 where it sets no limit."""
+    """Every request of the log answered from an index of the current documents, with all hits where it sets no limit."""
     docs, stop = materialize(_docs(spark, sf_dir), "documents"), _stop(spark, sf_dir)
     postings = materialize(index.build_postings(docs, stop, IndexType.FREQUENCIES), "postings")
     return requests.search_all(table(spark, sf_dir, "requests"), postings, index.doc_stats(docs), stop)

@@ -273,3 +273,17 @@ def test_requests_in_bulk(spark, counted):
         rows.setdefault(r.request_id, []).append(r.doc_id)
     assert rows == {1: [6, 1], 2: [2, 1], 7: [1, 2]}
     assert search_all(spark.createDataFrame([], schema), postings, stats, []).count() == 0
+
+
+def test_requests_without_a_limit(spark):
+    docs = spark.range(25).selectExpr("id as doc_id", "repeat('word ', int(id % 7) + 1) as content", "array('all') as labels")
+    schema = "request_id bigint, text string, tokens array<string>, labels array<string>, doc_ids array<bigint>, reverse_order boolean, output_offset int, max_outputs int"
+    asked = [(1, None, ["word"], ["all"], None, False, 0, 0), (2, None, ["word"], None, None, True, 3, None), (3, None, ["word"], None, None, False, 2, 4), (4, None, ["word"], None, [5, 20], None, None, 0)]
+    with Engine(spark, EngineOptions(stop_tokens=STOP)) as e:
+        e.index(docs)
+        rows = {}
+        for r in sorted(search_all(spark.createDataFrame(asked, schema), *e.tables(), list(STOP)).collect(), key=lambda r: (r.request_id, r.rank)):
+            rows.setdefault(r.request_id, []).append((r.rank, r.doc_id))
+        one = [d for d, _ in found(e, tokens=["word"], labels=["all"])]
+    assert len(one) == 25 and rows[1] == list(enumerate(one, 1))
+    assert {k: [n for n, _ in x] for k, x in rows.items()} == {1: [*range(1, 26)], 2: [*range(4, 26)], 3: [3, 4, 5, 6], 4: [*range(1, 17)]}
