@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 #: Items that the frequent-items sketch tracks; its error is about 3.5 / TRACKED of all rows.
 TRACKED = 20_000
-#: A key longer than this many bytes is never put into side data (it is still counted, by the plain path).
+#: A key longer than this many bytes is never put into side data; where it must be told there, its fingerprint is.
 KEY_BYTES = 1_024
 
 
+def side(key: Column) -> Column:
+    """What stands for a key in side data: the key itself, or a fingerprint of one that is too long.
+
+    A fingerprint that meets another key only makes that key one more to be salted and counted, by its whole value.
+    """
+    return F.when(F.octet_length(key) <= KEY_BYTES, key).otherwise(F.md5(key))
+
+
 def hot_keys(df: DataFrame, key: str, share: float) -> list[str]:
     """Every value of the string column ``key`` that may hold ``share`` of the non-null rows or more.
 
@@ -28,15 +36,22 @@ def hot_keys(df: DataFrame, key: str, share: float) -> list[str]:
     return [x["item"] for x in row.top if x["count"] >= share * row.n * 0.999]
 
 
+def hot_sides(df: DataFrame, key: str, share: float) -> list[str]:
+    """``hot_keys`` of keys of any length, those beyond ``KEY_BYTES`` by their fingerprints (see ``side``)."""
+    return hot_keys(df.select(side(F.col(key)).alias("_side")), "_side", share)
+
+
 def with_salt(df: DataFrame, key: Column, record: Column, hot: list[str], salts: int) -> DataFrame:
     """Adds ``_salt``: 0 for an ordinary key, else one of ``salts`` values drawn from the record.
 
+    ``hot`` as ``hot_sides`` gives it.
+
     The salt is a hash of the record, not ``rand()``: a task that runs again deals the same rows to the same salt,
     and repeats of a record meet each other there.
     """
     if not hot:
         return df.withColumn("_salt", F.lit(0))
-    return df.withColumn("_salt", F.when(key.isin(hot), F.pmod(F.xxhash64(record, F.lit(7)), F.lit(salts)).cast("int")).otherwise(0))
+    return df.withColumn("_salt", F.when(side(key).isin(hot), F.pmod(F.xxhash64(record, F.lit(7)), F.lit(salts)).cast("int")).otherwise(0))
 
 
 def _clean(df: DataFrame, key: str, record: str, weight: str) -> DataFrame:
@@ -55,10 +70,10 @@ def top_records_per_key(df: DataFrame, key: str, record: str, weight: str, k: in
     they can share a rank; False: the greatest weight of a record's repeats counts, at the price of a shuffle of all
     rows. Result: (key, record, weight double, rank int).
     """
-    hot = hot_keys(df, key, min(hot_share, min_share) if min_share else hot_share)
+    hot = hot_sides(df, key, min(hot_share, min_share) if min_share else hot_share)
     rows = _clean(df, key, record, weight)
     if min_share:
-        rows = rows.where(F.col("_key").isin(hot)) if hot else rows.where(F.lit(False))
+        rows = rows.where(side(F.col("_key")).isin(hot)) if hot else rows.where(F.lit(False))
         n = df.agg(F.count(F.lit(1)).alias("n"))
         sums = with_salt(rows, F.col("_key"), F.col("_rec"), hot, salts).groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("c"))
         big = sums.groupBy("_key").agg(F.sum("c").alias("c")).crossJoin(F.broadcast(n)).where(F.col("c") >= F.lit(min_share) * F.col("n"))
@@ -81,7 +96,7 @@ def totals_per_key(df: DataFrame, key: str, record: str, weight: str, *, salts:
     record is counted as a row but not as a record and adds no weight. Null and empty keys have no result.
     Result: (key, n_rows bigint, n_records bigint, total double).
     """
-    hot = hot_keys(df, key, hot_share)
+    hot = hot_sides(df, key, hot_share)
     rows = with_salt(_clean(df, key, record, weight), F.col("_key"), F.col("_rec"), hot, salts)
     # one shuffle by (key, salt) serves both groupings; a record lies in one salt, so distinct counts add up
     once = rows.repartition("_key", "_salt").groupBy("_key", "_salt", "_rec").agg(F.count(F.lit(1)).alias("c"), F.max("_w").alias("w"))

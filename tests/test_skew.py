@@ -55,3 +55,17 @@ def test_hot_rows_spread_before_the_shuffle(spark):
     df = spark.range(200_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 5000)) as tok", "id as doc_id", "cast(id % 97 as float) as tf", "0 as _salt")
     plan = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # pruned on the map side
+
+
+def test_long_hot_keys_count(spark):
+    long = ["x" * 2000, "é" * 1000, "x" * 1999 + "y"]
+    rows = [(t, d, float(d * 7 % 11), 1) for t, n in zip([*long, "hot", "y" * 1024, "y" * 1025], (300, 40, 5, 200, 30, 30)) for d in range(n)]
+    rows += [(f"t{i}", i, 1.0, 1) for i in range(500)] + [("z" * 1500 + str(i), i, 1.0, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for exact in (True, False):
+        got = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5, min_share=0.02, exact_repeats=exact).collect()
+        assert {(r.tok, r.doc_id) for r in got} == brute(rows, 5, 0.02) and len(got) == 25
+    got = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5).collect()
+    assert {(r.tok, r.doc_id) for r in got} == brute(rows, 5)
+    totals = {r.tok: (r.n_rows, r.n_records) for r in skew.totals_per_key(df, "tok", "doc_id", "tf").collect()}
+    assert [totals[t] for t in long] == [(300, 300), (40, 40), (5, 5)]
