@@ -174,25 +174,24 @@ class NearDuplicates:
         both = copies.unionByName(other)
         return both.select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
 
-    def groups(self, most_rounds: int = 200) -> DataFrame:
+    def groups(self) -> DataFrame:
         """One row per record: (k, rep, n_links of its text, group_id = least key that links lead to).
 
-        Labels travel along links and are halved by pointer jumping, so rounds grow with the logarithm of a chain;
-        every round is written to the shared folder.
+        Each round, the least label two steps from a text's neighbours goes to the text and to the text that its old
+        label names (as in FastSV), so that whole trees are hooked; measured rounds grow with the logarithm of a chain
+        in whatever order its keys come. Labels only fall, so the rounds end; every round is written to the shared folder.
         """
         edges = materialize(self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
         label = materialize(edges.select(F.col("a").alias("v")).distinct().select("v", F.col("v").alias("l")), "labels")
-        for _ in range(most_rounds):
-            near = edges.join(label.select(F.col("v").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
-            hop = label.join(near, label.v == near.a).select("v", "l", F.least("l", "m").alias("m"))
-            jump = label.select(F.col("v").alias("m"), F.col("l").alias("ml"))
-            after = materialize(hop.join(jump, "m").select("v", F.col("l").alias("old"), F.least("m", "ml").alias("l")), "labels")
-            changed = after.where("l < old").limit(1).count()
-            label = after.select("v", "l")
-            if not changed:
-                break
-        else:
-            raise RuntimeError("groups didn't settle")
+        changed = 1
+        while changed:
+            two = label.join(label.select(F.col("v").alias("l"), F.col("l").alias("g")), "l").select("v", "l", "g")
+            near = edges.join(two.select(F.col("v").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
+            own, hook = F.struct("v", F.least("g", "m").alias("l"), F.col("l").alias("old")), F.struct(F.col("l").alias("v"), F.col("m").alias("l"), F.lit(None).alias("old"))
+            told = two.join(near, two.v == near.a).select(F.inline(F.array(own, hook)))
+            label = materialize(told.groupBy("v").agg(F.min("l").alias("l"), F.max("old").alias("old")), "labels")
+            changed = label.where("l < old").limit(1).count()
+            label = label.select("v", "l")
         degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
         rows = self.members.join(label, F.col("rep") == F.col("v"), "left").join(degree, F.col("rep") == F.col("a"), "left")
         return rows.select("k", "rep", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("l", "rep").alias("group_id"))

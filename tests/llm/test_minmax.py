@@ -72,6 +72,24 @@ def test_long_chains_settle(spark):
     assert {r.group_id for r in groups} == {0} and sum(r.n_links for r in groups) == 2 * (n - 1)
 
 
+def test_rounds_are_few_for_shuffled_chains(spark, monkeypatch):
+    written, keep = [], mm.materialize
+    keys = np.random.default_rng(8).permutation(1000).tolist()
+    near = np.random.default_rng(9).permutation(np.arange(2000, 2030)).tolist()
+
+    def counted(df, name):
+        written.append(name)
+        assert len(written) <= 20
+        return keep(df, name)
+
+    monkeypatch.setattr(mm, "materialize", counted)
+    members = spark.createDataFrame([(k, k) for k in [*keys, *near, 5000]], "k bigint, rep bigint")
+    links = [(min(x), max(x)) for c in (keys, near) for x in zip(c, c[1:])]
+    groups = mm.NearDuplicates(members, spark.createDataFrame(links, "a bigint, b bigint")).groups().collect()
+    assert {r.k: r.group_id for r in groups} == {k: 0 for k in keys} | {k: 2000 for k in near} | {5000: 5000}
+    assert sum(r.n_links for r in groups) == 2 * len(links)
+
+
 def test_edges(spark):
     long = "lorem ipsum dolor sit amet consectetur " * 3000
     text = "the quick brown fox jumps over the lazy dog again"
