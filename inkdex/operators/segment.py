@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkdex.functions.text import LOWER, UNIT, UPPER, ascii_lower, units
+from inkdex.runtime import materialize
 
 #: The least frequency of an entry; distance and part of speech of a unit without entry.
 MIN_FREQUENCY, UNKNOWN_DISTANCE, UNKNOWN_POS = 2, 32.0, "x"
@@ -175,18 +176,23 @@ def cut_column(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
     return run(text)
 
 
+def _hits(base: DataFrame, entries: DataFrame) -> DataFrame:
+    """``base`` (k unique, t) with the entries that occur in each text: hits array<struct<i, n, text, distance, pos>>, null where none does."""
+    longest = entries.agg(F.max(F.size("words"))).first()[0] or 0
+    words = base.withColumn("w", units(F.col("t")))
+    at = words.select("k", F.posexplode("w").alias("i", "u"), "w").select("k", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("w") - F.col("i")))).alias("n"), "w")
+    grams = at.select("k", "i", "n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), "").alias("text"))
+    hits = grams.join(entries.select("text", "distance", "pos"), "text").groupBy("k").agg(F.collect_list(F.struct("i", "n", "text", "distance", "pos")).alias("hits"))
+    return base.join(hits, "k", "left").select("k", "t", "hits")
+
+
 def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True) -> DataFrame:
     """The same as ``segment`` for dictionaries of any size: runs of units meet the entries in a join.
 
     ``key`` must be unique. What comes back to one row is bounded by its own length times the longest entry.
     """
     kind = df.schema[key].dataType.simpleString()
-    longest = entries.agg(F.max(F.size("words"))).first()[0] or 0
     base = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    words = base.withColumn("w", units(F.col("t")))
-    at = words.select("k", F.posexplode("w").alias("i", "u"), "w").select("k", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("w") - F.col("i")))).alias("n"), "w")
-    grams = at.select("k", "i", "n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), "").alias("text"))
-    hits = grams.join(entries.select("text", "distance", "pos"), "text").groupBy("k").agg(F.collect_list(F.struct("i", "n", "distance", "pos")).alias("hits"))
 
     def run(batches):
         for b in batches:
@@ -199,14 +205,18 @@ def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, sear
                 out.append(cheapest(units_, found, search))
             yield pa.RecordBatch.from_arrays([b.column(0), _as_rows(out)], ["k", "segments"])
 
-    return base.join(hits, "k", "left").select("k", "t", "hits").mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
+    return _hits(base, entries).mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
+
+
+def small_lexicon(entries: DataFrame, most: int = BROADCAST_ENTRIES) -> Lexicon | None:
+    """The dictionary in memory if it has at most ``most`` entries (they are counted first), else None."""
+    return Lexicon.collect(entries, most) if entries.limit(most + 1).count() <= most else None
 
 
 def segment_by(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """``segment`` where the dictionary has at most ``most`` entries (they are counted first), else ``segment_by_join``."""
-    if entries.limit(most + 1).count() <= most:
-        return segment(df, key, text, Lexicon.collect(entries, most), search)
-    return segment_by_join(df, key, text, entries, search)
+    lexicon = small_lexicon(entries, most)
+    return segment_by_join(df, key, text, entries, search) if lexicon is None else segment(df, key, text, lexicon, search)
 
 
 def segments_to_string(segments: Column) -> Column:
@@ -227,6 +237,30 @@ def expand(df: DataFrame, segments: str, lexicon: Lexicon, output: str = "tokens
     return df.withColumn(output, run(F.transform(F.col(segments), lambda s: s["text"])))
 
 
+def expand_by_join(df: DataFrame, key: str, segments: str, entries: DataFrame, output: str = "tokens") -> DataFrame:
+    """The same as ``expand`` for dictionaries of any size: each distinct segment meets the entries inside it in a join.
+
+    ``key`` must be unique and not null.
+    """
+    df = materialize(df, "segments")
+    at = df.select(F.col(key).alias("_k"), F.posexplode(F.transform(F.col(segments), lambda s: s["text"])).alias("_i", "_t"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lex = Lexicon({h["text"]: (h["distance"], h["pos"]) for h in hits or []})
+                out.append(lex.parts(t) if t in lex.entries else [t])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.string()))], ["_t", "_p"])
+
+    texts = at.select(F.col("_t").alias("k"), F.col("_t").alias("t")).distinct()
+    parts = _hits(texts, entries).mapInArrow(run, "_t string, _p array<string>")
+    whole = at.join(parts, "_t").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("_p"))
+    none = F.when(F.col(segments).isNotNull(), F.array().cast("array<string>"))
+    rows = df.join(whole, df[key] == whole["_k"], "left")
+    return rows.withColumn(output, F.coalesce(F.flatten(F.transform("_p", lambda x: x["_p"])), none)).drop("_k", "_p")
+
+
 def prefix_lookup(words: Column, entries: DataFrame, df: DataFrame) -> DataFrame:
     """``df`` joined to every entry whose units begin the row's units: adds (entry, n_words)."""
     longest = entries.agg(F.max(F.size("words"))).first()[0] or 0

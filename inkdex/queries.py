@@ -557,16 +557,19 @@ def segment_dict(spark, sf_dir):
 
 
 def _cut_requests(spark, sf_dir, search=True):
-    lexicon = segment.Lexicon.collect(_entries(spark, sf_dir))
+    entries = materialize(_entries(spark, sf_dir), "entries")
     asked = table(spark, sf_dir, "requests").select("text").where("text <> ''").distinct()
-    return segment.segment(asked, "text", "text", lexicon, search), lexicon
+    lexicon = segment.small_lexicon(entries)
+    cuts = segment.segment_by_join(asked, "text", "text", entries, search) if lexicon is None else segment.segment(asked, "text", "text", lexicon, search)
+    return cuts, lexicon, entries
 
 
 @query()
 def subtoken_expand(spark, sf_dir):
     """The texts asked for, segmented, with the finer entries inside each."""
-    cuts, lexicon = _cut_requests(spark, sf_dir, False)
-    return segment.expand(cuts, "segments", lexicon).select("text", F.array_join("tokens", "|").alias("tokens"))
+    cuts, lexicon, entries = _cut_requests(spark, sf_dir, False)
+    parts = segment.expand_by_join(cuts, "text", "segments", entries) if lexicon is None else segment.expand(cuts, "segments", lexicon)
+    return parts.select("text", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query()

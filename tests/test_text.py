@@ -127,6 +127,27 @@ def test_format_and_expand(spark, entries):
     assert seg.expand(df, "segments", lex).first().tokens == ["中华", "人民", "共和", "共和国", "人民共和国"]
 
 
+def test_expand_paths_agree(spark, entries):
+    df = spark.createDataFrame([(1, "中华人民共和国有人口 Hello"), (2, None), (3, ""), (4, "中华人民共和国"), (5, "中国有 人民共和国" * 20)], "id bigint, content string")
+    cuts = seg.segment(df, "id", "content", seg.Lexicon.collect(entries), False).withColumn("segments", F.when(F.col("id") != 2, F.col("segments")))
+    odd = cuts.where("id = 1").select(F.lit(6).cast("bigint").alias("id"), F.transform("segments", lambda s: s.withField("text", F.lit("中国人民"))).alias("segments"))
+    cuts = cuts.unionByName(odd)  # a text that is no entry, as another dictionary might give
+    a = {r.id: r.tokens for r in seg.expand(cuts, "segments", seg.Lexicon.collect(entries)).collect()}
+    b = {r.id: r.tokens for r in seg.expand_by_join(cuts, "id", "segments", entries).collect()}
+    assert a == b and b[2] is None and b[3] == [] and b[4] == ["中华", "人民", "共和", "共和国", "人民共和国", "中华人民共和国"]
+
+
+@pytest.mark.parametrize("name", ["subtoken_expand", "segments_to_string"])
+def test_queries_with_a_large_dictionary(spark, data, monkeypatch, name):
+    from inkdex import queries
+
+    want = sorted(map(tuple, queries.QUERIES[name](spark, data).collect()))
+    for f in (seg.Lexicon.collect.__func__, getattr(seg, "small_lexicon", None)):
+        if f:
+            monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], 3))
+    assert sorted(map(tuple, queries.QUERIES[name](spark, data).collect())) == want and want
+
+
 def test_stop_tokens(spark, tmp_path):
     (tmp_path / "s.txt").write_text("the\n\n ,\nthe\r\nof")
     assert dictionary.stop_list(dictionary.read_stop_tokens(spark, str(tmp_path / "s.txt"))) == [" ,", "of", "the"]
