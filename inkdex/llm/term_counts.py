@@ -1,4 +1,4 @@
-"""Heavy-light term frequencies: exact counters in place for the few heavy terms, a shuffle only for the rest."""
+"""Heavy-light term frequencies: shuffled bit words of records for the few heavy terms, shuffled rows for the rest."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ def term_counts(df: DataFrame, term: str, record: str, weight: str, *, heavy_sha
     as a record nor towards the occurrences. Terms are compared by exact characters; an empty table gives no rows.
 
     Heavy terms (a sketch of all rows finds every term with ``heavy_share`` of them) are numbered and broadcast, at
-    most 1.25 / heavy_share + 8 of them with a bounded length. Every task counts them in local arrays: one 64-bit word
-    holds a bit for each of 64 neighbouring records of a (term, weight), so rows in record order collapse before
-    anything moves, and or-ing the words removes repeats wherever they lie. Only the light rows are shuffled, by term.
+    most 1.25 / heavy_share + 8 of them with a bounded length. Their rows become 64-bit words with a bit for each of 64
+    neighbouring records of a (term, weight): each task ors its own, so rows in record order collapse before they move,
+    then the words are shuffled by (term, block, weight) and or-ed again, which removes repeats wherever they lie. Exact
+    distinct records rule out plain local counters; rows in random order hardly collapse. Light rows are shuffled by term.
     The two count tables are then united. Result: (term, documents bigint, occurrences double).
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
