@@ -107,7 +107,10 @@ class JdbcStore:
 
 
 class MongoStore:
-    """A collection by the public Mongo connector, where the session has it."""
+    """A collection by the public Mongo connector, where the session has it.
+
+    The connector can't delete, so a deletion upserts a tombstone, which recovery leaves out and a later document replaces.
+    """
 
     def __init__(self, spark: SparkSession, uri: str, database: str, collection: str, shards: int = 8):
         self.spark, self.options, self.shards = spark, {"connection.uri": uri, "database": database, "collection": collection}, shards
@@ -120,10 +123,12 @@ class MongoStore:
         docs.write.format("mongodb").options(**self.options, operationType="replace", idFieldList="doc_id").mode("append").save()
 
     def delete(self, ids: DataFrame) -> None:
-        raise NotImplementedError("the connector has no delete; delete in the database")
+        self.set(ids.select("doc_id").where("doc_id is not null").distinct().withColumn("_deleted", F.lit(True)))
 
     def recover(self) -> DataFrame:
-        return self.spark.read.format("mongodb").options(**self.options).load()
+        # left out by the database, so that no schema is told from tombstones
+        live = {"aggregation.pipeline": '{"$match": {"_deleted": {"$ne": true}}}'}
+        return self.spark.read.format("mongodb").options(**self.options, **live).load()
 
     def close(self) -> None:
         """Connections are the connector's."""

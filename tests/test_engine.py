@@ -197,6 +197,66 @@ def test_jdbc_store(spark):
     assert sorted((r[0], r[1]) for r in s.recover().collect()) == [(1, "a"), (2, None)]
 
 
+def test_mongo_store_deletes(spark, tmp_path):
+    """Against a stand-in for the connector: upserts by doc_id in a folder, read through the pipeline of the options."""
+    import json
+    import time
+    import uuid
+    from pathlib import Path
+
+    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
+
+    from inkdex.sources.store import MongoStore
+
+    class Reader(DataSourceReader):
+        def __init__(self, rows):
+            self.rows = rows
+
+        def read(self, partition):
+            yield from self.rows
+
+    class Writer(DataSourceWriter):
+        def __init__(self, options):
+            assert (options["operationType"], options["idFieldList"]) == ("replace", "doc_id")
+            self.folder = options["connection.uri"]
+
+        def write(self, rows):
+            lines = [json.dumps(r.asDict()) for r in rows]
+            Path(self.folder, f"{time.time_ns()}-{uuid.uuid4().hex}").write_text("\n".join(lines))
+            return WriterCommitMessage()
+
+    class StandIn(DataSource):
+        @classmethod
+        def name(cls):
+            return "mongodb"
+
+        def kept(self):
+            by = {}
+            for p in sorted(Path(self.options["connection.uri"]).iterdir()):
+                by |= {x["doc_id"]: x for x in map(json.loads, p.read_text().splitlines())}
+            match = json.loads(self.options.get("aggregation.pipeline", "{}")).get("$match", {})
+            return [x for x in by.values() if all(x.get(k) != v["$ne"] for k, v in match.items())]
+
+        def schema(self):
+            return "doc_id bigint, content string" + ", _deleted boolean" * any("_deleted" in x for x in self.kept())
+
+        def reader(self, schema):
+            return Reader([tuple(x.get(f.name) for f in schema) for x in self.kept()])
+
+        def writer(self, schema, overwrite):
+            return Writer(self.options)
+
+    spark.dataSource.register(StandIn)
+    store = MongoStore(spark, str(tmp_path), "inkdex", "docs")
+    stored = lambda: sorted(map(tuple, store.recover().collect()))
+    store.set(spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, "red pear")], "doc_id bigint, content string"))
+    with Engine(spark, EngineOptions(storage=store)) as e:
+        e.remove_document(spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "doc_id bigint"))
+    assert stored() == [(3, "red pear")] and store.recover().columns == ["doc_id", "content"]
+    store.set(spark.createDataFrame([(2, "blue pear")], "doc_id bigint, content string"))
+    assert stored() == [(2, "blue pear"), (3, "red pear")]
+
+
 def test_postings_on_disk(spark, counted, tmp_path):
     postings, stats = counted.tables()
     index.write_postings(postings, str(tmp_path / "p"))
