@@ -112,8 +112,7 @@ def canonical(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts):
-        find = _unstable().search
-        return texts.map(lambda t: t if t is None or find(t) is None else canonical_text(t))
+        return texts.map(lambda t: t if t is None else canonical_text(t))
 
     odd = text.rlike("[^\\t-\\r -~]")
     return F.coalesce(run(F.when(odd, text)), text)

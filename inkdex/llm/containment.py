@@ -1,10 +1,10 @@
-"""Held-out passages inside long documents: size-partitioned MinHash containment search, verified exactly.
+"""Held-out passages inside long documents: size-partitioned MinHash containment, verified exactly.
 
 A passage is ``run`` consecutive words of an item. MinHash estimates containment only where the two sets are of like
 size, so documents and items are partitioned into windows of one size class, that of the passage: ``run`` words, or
 run - shingle + 1 word shingles. A document that holds the passage has a window with the same shingle set, where
-containment and Jaccard similarity are 1, and there one minimum already agrees with certainty: the search misses
-nothing. Neighbouring windows mostly share their minimum, so a text has far fewer signatures than words. Whatever
+containment and Jaccard similarity are 1, and there one minimum already agrees with certainty: so nothing is
+missed. Neighbouring windows mostly share their minimum, so a text has far fewer signatures than words. Whatever
 agrees in a signature is a candidate, verified by the words of the passage themselves.
 """
 
@@ -92,7 +92,7 @@ def _by_broadcast(d: DataFrame, i: DataFrame, ik: str, dk: str, run: int, shingl
     order = np.argsort(sig, kind="stable")
     side = d.sparkSession.sparkContext.broadcast((sig[order], owner[order], [r.i for r in rows], [r.t for r in rows]))
 
-    def search(batches):
+    def find(batches):
         sigs, owners, keys, texts = side.value
         parts: dict[int, set] = {}
         for b in batches:
@@ -113,7 +113,7 @@ def _by_broadcast(d: DataFrame, i: DataFrame, ik: str, dk: str, run: int, shingl
             if at:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(out, b.schema.field(0).type if ik == dk else None)], ["d", "i"])
 
-    found = d.mapInArrow(search, f"d {dk}, i {ik}")
+    found = d.mapInArrow(find, f"d {dk}, i {ik}")
     return found.distinct()  # pairs only; repeats of a document's row give one
 
 

@@ -28,7 +28,7 @@ WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 @dataclass(frozen=True)
 class MinMax:
-    """Parameters of the search; the defaults miss a pair at the threshold of 0.6 with probability 0.04 %.
+    """Parameters of the method; the defaults miss a pair at the threshold of 0.6 with probability 0.04 %.
 
     ``slack``: sketches of 256 bits may differ in as many bits
     as are expected at the threshold plus so many standard deviations (4: one in 30,000 such pairs is lost).
@@ -201,7 +201,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, revision: str | None = N
     """Records whose texts are alike, from the current row (greatest ``revision``) of each key.
 
     Texts are compared as ``visible`` makes them; null ones and those then shorter than ``least_chars`` characters are
-    in no result. Of copies of one text the least key represents all: only representatives are searched, and
+    in no result. Of copies of one text the least key represents all: only representatives are compared, and
     ``members`` says who they stand for. Rows that repeat a key count once; a null revision is the lowest; null keys
     are left out; texts are taken whole. An empty table gives empty results.
     """
