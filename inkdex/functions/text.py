@@ -43,8 +43,8 @@ def units(text: Column) -> Column:
     return split_words(ascii_lower(text))
 
 
-def search_units(text: Column) -> Column:
-    """Units in search mode without a dictionary: a text of a single unit has none; null counts as empty."""
+def asked_units(text: Column) -> Column:
+    """Units in fine mode without a dictionary: a text of a single unit has none; null counts as empty."""
     u = units(F.coalesce(text, F.lit("")))
     return F.when(F.size(u) > 1, u).otherwise(F.array().cast("array<string>"))
 

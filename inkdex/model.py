@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import IntEnum
-from typing import Any
+from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 class IndexType(IntEnum):
@@ -39,7 +39,7 @@ class RankOptions:
 
 
 @dataclass(frozen=True)
-class SearchRequest:
+class Request:
     """``text`` is segmented and freed of stop tokens; where it is empty ``tokens`` are taken as they stand.
 
     ``doc_ids``: nothing, or the inclusive range [lo, hi]. ``timeout_ms`` 0: none.
@@ -62,25 +62,57 @@ class SearchRequest:
 
 
 @dataclass
-class SearchResponse:
+class Response:
     tokens: list[str]
     docs: DataFrame
     timeout: bool = False
 
 
+class Segmenter(Protocol):
+    """What cuts texts into tokens, at index and query alike; ``operators.segment.Lexicon`` is one."""
+
+    def tokens(self, text: str) -> list[str]: ...
+    def column(self, text: Column, spark: SparkSession) -> Column:
+        """The tokens of every text of a column, array<string>; [] for an empty text."""
+
+
+class Indexer(Protocol):
+    """What makes postings of documents and finds documents by them; ``plans.parts.PostingIndexer`` is the engine's own."""
+
+    def postings(self, documents: DataFrame) -> DataFrame:
+        """(tok, doc_id, ...) of prepared documents (see ``operators.index.prepare``)."""
+
+    def lookup(self, postings: DataFrame, stats: DataFrame, corpus: DataFrame | None, tokens: list[str], labels: list[str], doc_range: tuple[int, int] | None) -> DataFrame:
+        """The documents with all tokens and labels, as ``operators.lookup.lookup`` gives them."""
+
+
+class Ranker(Protocol):
+    """What scores, orders and slices documents; ``plans.parts.FieldRanker`` is the engine's own."""
+
+    def rank(self, hits: DataFrame, fields: DataFrame | None, options: RankOptions) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class EngineOptions:
-    """``num_shards`` 1: statistics of the whole collection; n: local statistics of n shards by the content hash."""
+    """``num_shards`` 1: statistics of the whole collection; n: local statistics of n shards by the content hash.
+
+    ``index_path``: a folder that outlives the session, where the index is kept; None: it ends with the session.
+    ``indexer`` and ``ranker`` make other parts than the engine's own from these options.
+    """
 
     index_type: IndexType = IndexType.FREQUENCIES
     bm25: BM25Parameters = BM25Parameters()
     num_shards: int = 1
     stop_tokens: tuple[str, ...] = ()
-    dictionary: Any = None  # operators.segment.Lexicon, or the entries as a DataFrame where they are too many for one
+    dictionary: Any = None  # a Segmenter such as operators.segment.Lexicon, or its entries as a DataFrame where they are too many for one
+    index_path: str | None = None
+    most_generations: int = 8  # beyond so many, generations of like size are merged
+    indexer: Callable[[EngineOptions], Indexer] | None = None
+    ranker: Callable[[EngineOptions], Ranker] | None = None
     storage: Any = None  # a document store, see sources.store
     upsert_mode: str = "replace"  # or "merge": postings of dropped keywords stay
     compat_truncate: bool = False  # a located index ends a lookup at the first document without locations
 
     def __post_init__(self):
-        if self.num_shards < 1 or self.upsert_mode not in ("replace", "merge"):
-            raise ValueError("num_shards must be positive, upsert_mode 'replace' or 'merge'")
+        if self.num_shards < 1 or self.most_generations < 1 or self.upsert_mode not in ("replace", "merge"):
+            raise ValueError("num_shards and most_generations must be positive, upsert_mode 'replace' or 'merge'")

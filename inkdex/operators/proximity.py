@@ -1,7 +1,7 @@
 """How close the query's tokens stand to each other in a document.
 
 With P_i the places of token i and L_i its length in bytes, the proximity is the least sum of |P_(i+1) - P_i - L_i|
-over one place per token. The search only steps to the two places around the current one (the last one before it, or
+over one place per token. It only steps to the two places around the current one (the last one before it, or
 the first of all, and the next), which is exact for different tokens; for repeated ones it defines the result.
 """
 

@@ -91,10 +91,18 @@ class Lexicon:
             out.append(here)
         return out
 
-    def cut(self, text: str | None, search: bool = True) -> list[tuple[str, int, int, str]]:
-        """The segments (text, start byte, end byte, pos) of a text; in search mode a single unit has none."""
+    def cut(self, text: str | None, fine: bool = True) -> list[tuple[str, int, int, str]]:
+        """The segments (text, start byte, end byte, pos) of a text; in fine mode a single unit has none."""
         words = unit_list(text)
-        return cheapest(words, self.matches(words), search)
+        return cheapest(words, self.matches(words), fine)
+
+    def tokens(self, text: str) -> list[str]:
+        """The texts of a text's fine-mode segments."""
+        return [t for t, *_ in self.cut(text)]
+
+    def column(self, text: Column, spark: SparkSession) -> Column:
+        """The same of a column."""
+        return cut_column(text, self, spark)
 
     def parts(self, text: str) -> list[str]:
         """The finer entries inside an entry, depth first, then itself; parts of one unit don't count."""
@@ -105,20 +113,20 @@ class Lexicon:
         return [*out, text]
 
 
-def cheapest(words: list[str], found: list[list[tuple[int, float, str]]], search: bool) -> list[tuple[str, int, int, str]]:
+def cheapest(words: list[str], found: list[list[tuple[int, float, str]]], fine: bool) -> list[tuple[str, int, int, str]]:
     """The cheapest segmentation of units, given the entries that start at each.
 
     Worked out from the end of each segment: among all segments that end at a unit, in the order of their starts, the
     first of least cost counts. Fixed values of the semantics: a cost of exactly 0 counts as not set yet, so what comes
-    next replaces it; search mode forbids an entry that spans the whole text.
+    next replaces it; fine mode forbids an entry that spans the whole text.
     """
     n = len(words)
-    if n == 0 or (search and n == 1):
+    if n == 0 or (fine and n == 1):
         return []
     ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
     for i, here in enumerate(found):
         for size, distance, pos in here:
-            if not (search and size == n):
+            if not (fine and size == n):
                 ending[i + size - 1].append((i, distance, pos))
         if not here or here[0][0] > 1 or len(words[i].encode()) > 1:
             ending[i].append((i, UNKNOWN_DISTANCE, UNKNOWN_POS))
@@ -148,7 +156,7 @@ def _as_rows(segments: list[list[tuple[str, int, int, str]]]) -> pa.Array:
     return pa.array([[dict(zip(("text", "start", "end", "pos"), s)) for s in x] for x in segments], kind)
 
 
-def segment(df: DataFrame, key: str, text: str, lexicon: Lexicon, search: bool = True) -> DataFrame:
+def segment(df: DataFrame, key: str, text: str, lexicon: Lexicon, fine: bool = True) -> DataFrame:
     """(key, segments array<struct<text, start, end, pos>>) of every row; [] for null and empty texts.
 
     The lexicon goes to every task once; its size was bounded when it was collected.
@@ -159,13 +167,13 @@ def segment(df: DataFrame, key: str, text: str, lexicon: Lexicon, search: bool =
     def run(batches):
         lex = side.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _as_rows([lex.cut(t, search) for t in b.column(1).to_pylist()])], ["k", "segments"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _as_rows([lex.cut(t, fine) for t in b.column(1).to_pylist()])], ["k", "segments"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
 
 
 def cut_column(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
-    """The texts of the search-mode segments of a column, array<string>, where no key is at hand to join by; null stays null."""
+    """The texts of the fine-mode segments of a column, array<string>, where no key is at hand to join by; null stays null."""
     side = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<string>")
@@ -186,7 +194,7 @@ def _hits(base: DataFrame, entries: DataFrame) -> DataFrame:
     return base.join(hits, "k", "left").select("k", "t", "hits")
 
 
-def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True) -> DataFrame:
+def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, fine: bool = True) -> DataFrame:
     """The same as ``segment`` for dictionaries of any size: runs of units meet the entries in a join.
 
     ``key`` must be unique. What comes back to one row is bounded by its own length times the longest entry.
@@ -202,7 +210,7 @@ def segment_by_join(df: DataFrame, key: str, text: str, entries: DataFrame, sear
                 found: list[list] = [[] for _ in units_]
                 for h in sorted(hits or [], key=lambda h: (h["i"], h["n"])):
                     found[h["i"]].append((h["n"], h["distance"], h["pos"]))
-                out.append(cheapest(units_, found, search))
+                out.append(cheapest(units_, found, fine))
             yield pa.RecordBatch.from_arrays([b.column(0), _as_rows(out)], ["k", "segments"])
 
     return _hits(base, entries).mapInArrow(run, f"k {kind}, segments array<{SEGMENT}>").withColumnRenamed("k", key)
@@ -213,10 +221,10 @@ def small_lexicon(entries: DataFrame, most: int = BROADCAST_ENTRIES) -> Lexicon
     return Lexicon.collect(entries, most) if entries.limit(most + 1).count() <= most else None
 
 
-def segment_by(df: DataFrame, key: str, text: str, entries: DataFrame, search: bool = True, most: int = BROADCAST_ENTRIES) -> DataFrame:
+def segment_by(df: DataFrame, key: str, text: str, entries: DataFrame, fine: bool = True, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """``segment`` where the dictionary has at most ``most`` entries (they are counted first), else ``segment_by_join``."""
     lexicon = small_lexicon(entries, most)
-    return segment_by_join(df, key, text, entries, search) if lexicon is None else segment(df, key, text, lexicon, search)
+    return segment_by_join(df, key, text, entries, fine) if lexicon is None else segment(df, key, text, lexicon, fine)
 
 
 def segments_to_string(segments: Column) -> Column:

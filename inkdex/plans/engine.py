@@ -1,49 +1,52 @@
-"""The engine: index documents, search them, keep them over restarts."""
+"""The engine: index documents, find them, keep them over restarts."""
 
 from __future__ import annotations
 
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkdex.functions.hashing import index_shard
-from inkdex.model import EngineOptions, IndexType, RankOptions, SearchRequest, SearchResponse
+from inkdex.model import EngineOptions, IndexType, RankOptions, Request, Response, Segmenter
 from inkdex.operators import index as ix
-from inkdex.operators import lookup as lk
-from inkdex.operators import ranking as rk
 from inkdex.operators import segment as seg
+from inkdex.plans.generations import Generations
+from inkdex.plans.parts import FieldRanker, PostingIndexer
 from inkdex.runtime import materialize
 
 
-def query_tokens(request: SearchRequest, stop: list[str] | tuple[str, ...] = (), dictionary: seg.Lexicon | DataFrame | None = None) -> list[str]:
-    """The tokens a request asks for: its text in search mode without stop tokens, or where it is empty its tokens as they stand."""
+def query_tokens(request: Request, stop: list[str] | tuple[str, ...] = (), dictionary: Segmenter | DataFrame | None = None) -> list[str]:
+    """The tokens a request asks for: its text in fine mode without stop tokens, or where it is empty its tokens as they stand."""
     if not request.text:
         return list(request.tokens)
     if isinstance(dictionary, DataFrame):
         one = dictionary.sparkSession.createDataFrame([(0, request.text)], "id int, content string")
         cut = [s.text for s in seg.segment_by_join(one, "id", "content", dictionary).first().segments]
     else:
-        cut = [t for t, *_ in (dictionary or seg.Lexicon()).cut(request.text)]
-    return [t for t in cut if t not in set(stop)]
+        cut = (dictionary or seg.Lexicon()).tokens(request.text)
+    there = set(stop)
+    return [t for t in cut if t not in there]
 
 
 class Engine:
     """Documents in, ranked documents out; a context manager.
 
     The index is a set of generations, one per ``index`` call, each written once and never changed: a document's
-    newest generation counts, so that indexing adds work in proportion to what is new. ``compact`` merges them.
+    newest generation counts, so that indexing adds work in proportion to what is new. Generations of like size are
+    merged once there are more than ``most_generations``. With ``index_path`` an engine that starts on the same folder
+    finds everything that was indexed before, without indexing it again.
     """
 
     def __init__(self, spark: SparkSession, options: EngineOptions = EngineOptions()):
         self.spark, self.options = spark, options
-        self._postings: list[DataFrame] = []
-        self._stats: list[DataFrame] = []
-        self._fields: DataFrame | None = None
+        self.indexer = (options.indexer or PostingIndexer)(options)
+        self.ranker = (options.ranker or FieldRanker)(options)
+        self.generations = Generations(spark, options.index_path, options.index_type, options.upsert_mode)
         self._lock = threading.Lock()
         self.streams: list = []
-        if options.storage is not None:
+        if options.storage is not None and not self.generations.manifest.generations:
             self.recover()
 
     def __enter__(self) -> Engine:
@@ -54,77 +57,57 @@ class Engine:
 
     # -- indexing
 
-    def index(self, docs: DataFrame, store: bool = True) -> None:
+    def index(self, docs: DataFrame, store: bool = True, *, stream: tuple[str, int] | None = None) -> None:
         """Adds or replaces documents (doc_id, content, tokens, labels, fields; all but doc_id optional).
 
         Of a doc_id's repeats within ``docs`` the one of the greatest ``revision`` counts, or any without that column.
-        With upsert_mode 'merge' keywords that a document no longer has still find it.
+        With upsert_mode 'merge' keywords that a document no longer has still find it. ``stream``: (name, batch) that
+        is committed together with what it brings; a batch that was committed before is left out.
+
+        Contents are cut once and shuffled twice, to find the current rows and to group their tokens.
         """
         o = self.options
+        if stream and self.generations.manifest.streams.get(stream[0], -1) >= stream[1]:
+            return
         docs = ix.current_rows(docs if "revision" in docs.columns else docs.withColumn("revision", F.lit(0)))
-        for c, t in (("content", "string"), ("tokens", "array<struct<text:string,locations:array<int>>>"), ("labels", "array<string>")):
-            docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast(t))
-        docs = materialize(docs, "documents")
-        postings = materialize(ix.build_postings(docs, list(o.stop_tokens), o.index_type, o.dictionary), "postings")
-        shard = index_shard(F.col("doc_id"), F.col("content"), o.num_shards) if o.num_shards > 1 else F.lit(0)
-        stats = materialize(ix.doc_stats(docs, o.dictionary).join(docs.select("doc_id", shard.alias("shard")), "doc_id"), "lengths")
+        keep = o.storage is not None and store
+        docs = materialize(docs, "documents") if keep else docs  # it goes two ways: to the index and to the store
+        rows = ix.prepare(docs, o.dictionary)
+        rows = rows.withColumn("shard", index_shard(F.col("doc_id"), F.col("content"), o.num_shards) if o.num_shards > 1 else F.lit(0))
         with self._lock:
-            self._postings.append(postings)
-            self._stats.append(stats)
-            if "fields" in docs.columns:
-                fresh = docs.select("doc_id", "fields")
-                self._fields = fresh if self._fields is None else materialize(rk.merge_fields(self._fields, fresh), "fields")
-        if store and o.storage is not None:
+            path, rows = self.generations.write_documents(rows, ["fields"] if "fields" in docs.columns else [])
+            self.generations.add(path, rows, self.indexer.postings(rows), stream)
+            self.generations.merge(o.most_generations)
+        if keep:
             o.storage.set(docs)
 
     def recover(self) -> None:
         """Indexes everything the store holds."""
         self.index(self.options.storage.recover(), store=False)
 
-    def _numbered(self, parts: list[DataFrame]) -> DataFrame:
-        out = parts[0].withColumn("generation", F.lit(0))
-        for g, p in enumerate(parts[1:], 1):
-            out = out.unionByName(p.withColumn("generation", F.lit(g)))
-        return out
-
     def tables(self) -> tuple[DataFrame, DataFrame]:
-        """(postings, doc_stats) as they count now."""
-        if not self._postings:
-            raise RuntimeError("nothing is indexed yet")
-        if len(self._postings) == 1:
-            return self._postings[0], self._stats[0]
-        newest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("generation").desc()))
-        stats = self._numbered(self._stats).withColumn("n", newest).where("n = 1")
-        postings = self._numbered(self._postings)
-        if self.options.upsert_mode == "replace":
-            live = postings.join(stats.select("doc_id", "generation"), ["doc_id", "generation"], "left_semi")
-        else:
-            last = F.row_number().over(Window.partitionBy("doc_id", "tok").orderBy(F.col("generation").desc()))
-            live = postings.withColumn("n", last).where("n = 1").drop("n")
-        return live.drop("generation"), stats.drop("n", "generation")
+        """(postings, doc_stats) as they count now; without rows where nothing is indexed."""
+        return self.generations.tables()
 
     def compact(self) -> None:
         """Merges all generations into one."""
-        postings, stats = self.tables()
-        postings, stats = materialize(postings, "postings"), materialize(stats, "lengths")
         with self._lock:
-            self._postings, self._stats = [postings], [stats]
+            self.generations.compact()
 
     def remove_document(self, ids: DataFrame) -> None:
         """Takes away scoring fields and stored documents (doc_id); the index itself still finds them, with null fields."""
-        if self._fields is not None:
-            self._fields = materialize(rk.remove_fields(self._fields, ids), "fields")
+        with self._lock:
+            if (fields := self.generations.fields()) is not None:
+                kind = fields.schema["fields"].dataType
+                self.generations.add_fields(ids.select("doc_id").where("doc_id is not null").distinct().withColumn("fields", F.lit(None).cast(kind)))
         if self.options.storage is not None:
             self.options.storage.delete(ids)
 
     def delete_document(self, ids: DataFrame) -> None:
-        """Removes documents from the index, too."""
+        """Removes documents from the index, too, which rewrites it."""
         self.remove_document(ids)
-        postings, stats = self.tables()
-        gone = ids.select("doc_id").distinct()
-        postings, stats = (materialize(x.join(gone, "doc_id", "left_anti"), "kept") for x in (postings, stats))
         with self._lock:
-            self._postings, self._stats = [postings], [stats]
+            self.generations.compact(gone=ids.select("doc_id").distinct())
 
     def flush(self) -> None:
         """Waits until all streams have indexed what has arrived."""
@@ -144,31 +127,28 @@ class Engine:
         if self.options.storage is not None:
             self.options.storage.close()
 
-    # -- searching
+    # -- finding
 
-    def search(self, request: SearchRequest) -> SearchResponse:
+    def find(self, request: Request) -> Response:
         """Documents that hold all tokens and labels, scored, in order, sliced; a lazy plan unless there is a timeout.
 
         With one, the plan runs at once; if it isn't done in time its jobs are cancelled and no documents come back.
+        Where nothing is indexed nothing is found.
         """
         o, options = self.options, request.rank_options
         tokens = query_tokens(request, o.stop_tokens, o.dictionary)
-        postings, stats = self.tables()
-        shard = None
-        if o.num_shards > 1:
-            postings, shard = postings.join(stats.select("doc_id", "shard"), "doc_id"), F.col("shard")
-        hits = lk.lookup(postings, stats, tokens, request.labels, request.range(), index_type=o.index_type, bm25=o.bm25, shard=shard, compat_truncate=o.compat_truncate)
-        docs = rk.rank(rk.score(hits, self._fields, options.scorer), options)
+        hits = self.indexer.lookup(*self.tables(), self.generations.corpus(), tokens, request.labels, request.range())
+        docs = self.ranker.rank(hits, self.generations.fields(), options)
         if request.timeout_ms <= 0:
-            return SearchResponse(tokens, docs)
-        group, context, late = f"search-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
+            return Response(tokens, docs)
+        group, context, late = f"find-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
 
         def stop() -> None:
             late.set()
             context._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
         timer = threading.Timer(request.timeout_ms / 1000, stop)
-        context.setJobGroup(group, "search", interruptOnCancel=True)
+        context.setJobGroup(group, "find", interruptOnCancel=True)
         timer.start()
         found = None
         try:
@@ -180,8 +160,8 @@ class Engine:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)
         if found is None or late.is_set():
-            return SearchResponse(tokens, self.spark.createDataFrame([], docs.schema), timeout=True)
-        return SearchResponse(tokens, found)
+            return Response(tokens, self.spark.createDataFrame([], docs.schema), timeout=True)
+        return Response(tokens, found)
 
 
-__all__ = ["Engine", "EngineOptions", "IndexType", "RankOptions", "SearchRequest", "SearchResponse", "query_tokens"]
+__all__ = ["Engine", "EngineOptions", "IndexType", "RankOptions", "Request", "Response", "query_tokens"]

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkdex.functions.scoring import bm25_term
-from inkdex.functions.text import search_units
+from inkdex.functions.text import asked_units
 from inkdex.model import BM25Parameters
 from inkdex.runtime import materialize
 
 
 def asked_tokens(text: Column, tokens: Column, stop: list[str]) -> Column:
-    """The tokens of a request: of its text in search mode without stop tokens, or, where it is null or empty, ``tokens`` as they stand."""
-    own = search_units(text)
+    """The tokens of a request: of its text in fine mode without stop tokens, or, where it is null or empty, ``tokens`` as they stand."""
+    own = asked_units(text)
     own = F.filter(own, lambda t: ~t.isin(stop)) if stop else own
     none = F.array().cast("array<string>")
     return F.when(F.coalesce(text, F.lit("")) != "", own).otherwise(F.coalesce(F.filter(tokens, lambda t: t.isNotNull()), none))
@@ -24,7 +24,7 @@ def valid_range(doc_ids: Column) -> Column:
     return doc_ids.isNull() | (F.size(doc_ids) == 0) | ((F.size(doc_ids) == 2) & (F.get(doc_ids, F.lit(0)) <= F.get(doc_ids, F.lit(1))))
 
 
-def search_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop: list[str], bm25: BM25Parameters = BM25Parameters()) -> DataFrame:
+def answer_all(requests: DataFrame, postings: DataFrame, stats: DataFrame, stop: list[str], bm25: BM25Parameters = BM25Parameters()) -> DataFrame:
     """The ranked documents of every request: (request_id, rank int, doc_id, bm25).
 
     ``requests`` as in the log (request_id, text, tokens, labels, doc_ids, reverse_order, output_offset, max_outputs);

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from inkdex.functions import hashing, scoring, text
-from inkdex.model import BM25Parameters, EngineOptions, IndexType, RankOptions, SearchRequest
+from inkdex.model import BM25Parameters, EngineOptions, IndexType, RankOptions, Request
 from inkdex.operators import index, lookup, ranking, segment, skew
 from inkdex.plans import requests
 from inkdex.plans.engine import Engine
@@ -139,8 +139,8 @@ def ascii_lower(spark, sf_dir):
 
 @query(f"select doc_id, cast(case when len(a) > 1 then len(a) else 0 end as int) as n from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_UNIT}') as a from documents)")
 def segment_nodict(spark, sf_dir):
-    """The number of search-mode tokens of every document, without a dictionary."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.search_units(F.col("text"))).alias("n"))
+    """The number of fine-mode tokens of every document, without a dictionary."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.asked_units(F.col("text"))).alias("n"))
 
 
 @query(f'with {_TOKENS} select doc_id, pos, tok, start, cast(start + strlen(tok) as int) as "end" from tk')
@@ -280,7 +280,7 @@ def docid_range_filter(spark, sf_dir):
     """Documents with two toks within a range of ids: the middle half."""
     postings, stats = _index(spark, sf_dir)
     r = postings.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    request = SearchRequest(tokens=["the", "of"], doc_ids=[r.lo + (r.hi - r.lo) // 4, r.hi - (r.hi - r.lo) // 4])
+    request = Request(tokens=["the", "of"], doc_ids=[r.lo + (r.hi - r.lo) // 4, r.hi - (r.hi - r.lo) // 4])
     return lookup.lookup(postings, stats, request.tokens, request.labels, request.range()).select("doc_id")
 
 
@@ -556,11 +556,11 @@ def segment_dict(spark, sf_dir):
     return found.select("doc_id", F.posexplode("segments").alias("n", "s")).select("doc_id", "n", "s.*")
 
 
-def _cut_requests(spark, sf_dir, search=True):
+def _cut_requests(spark, sf_dir, fine=True):
     entries = materialize(_entries(spark, sf_dir), "entries")
     asked = table(spark, sf_dir, "requests").select("text").where("text <> ''").distinct()
     lexicon = segment.small_lexicon(entries)
-    cuts = segment.segment_by_join(asked, "text", "text", entries, search) if lexicon is None else segment.segment(asked, "text", "text", lexicon, search)
+    cuts = segment.segment_by_join(asked, "text", "text", entries, fine) if lexicon is None else segment.segment(asked, "text", "text", lexicon, fine)
     return cuts, lexicon, entries
 
 
@@ -615,8 +615,8 @@ r as (select hit.request_id, hit.doc_id, hit.bm25, rq.output_offset as skip, rq.
   where rq.doc_ids is null or len(rq.doc_ids) = 0 or hit.doc_id between rq.doc_ids[1] and rq.doc_ids[2])
 select request_id, cast(rank as int) as rank, doc_id, cast(bm25 as double) as bm25 from r
 where rank > greatest(coalesce(skip, 0), 0) and rank <= greatest(coalesce(skip, 0), 0) + case when coalesce(most, 0) > 0 then most else 10 end""")
-def search_requests(spark, sf_dir):
+def answer_requests(spark, sf_dir):
     """Every request of the log answered from an index of the current documents, with all hits where it sets no limit."""
     docs, stop = materialize(_docs(spark, sf_dir), "documents"), _stop(spark, sf_dir)
     postings = materialize(index.build_postings(docs, stop, IndexType.FREQUENCIES), "postings")
-    return requests.search_all(table(spark, sf_dir, "requests"), postings, index.doc_stats(docs), stop)
+    return requests.answer_all(table(spark, sf_dir, "requests"), postings, index.doc_stats(docs), stop)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from inkdex.plans.engine import Engine
+from inkdex.runtime import file_system
 
 
 def document_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
@@ -14,12 +15,21 @@ def document_stream(spark: SparkSession, path: str, schema, files_per_trigger: i
 
 
 def start_ingest(engine: Engine, docs: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Indexes every micro-batch; ``engine.flush()`` waits for what has arrived. Started again from the same checkpoint it
-    continues where it stopped; a batch that is delivered twice replaces itself."""
-
-    def add(batch: DataFrame, _: int) -> None:
+    """Indexes every micro-batch; ``engine.flush()`` waits for what has arrived.
+
+    A batch's number is committed with its documents in the engine's index, so a batch that is delivered twice counts
+    once. Started again from the same checkpoint, on an engine with the same ``index_path`` (or one that recovered the
+    documents from its store), it continues where it stopped. An engine that holds nothing of what the checkpoint has
+    passed would miss those documents for good: that is an error.
+    """
+    name = checkpoint.rstrip("/")
+    fs, passed = file_system(engine.spark, f"{name}/commits")
+    if fs.exists(passed) and fs.listStatus(passed) and name not in engine.generations.manifest.streams and engine.options.storage is None:
+        raise ValueError("this checkpoint has passed documents that the engine doesn't hold: give it the same index_path, a store, or a new checkpoint")
+
+    def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            engine.index(batch)
+            engine.index(batch, stream=(name, number))
 
     query = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
     engine.streams.append(query)

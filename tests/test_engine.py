@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from inkdex.model import EngineOptions, IndexType, RankOptions, SearchRequest
+from inkdex.model import EngineOptions, IndexType, RankOptions, Request
 from inkdex.operators import index, lookup, proximity, ranking
 from inkdex.plans.engine import Engine
-from inkdex.plans.requests import search_all
+from inkdex.plans.requests import answer_all
 from inkdex.sources.store import ParquetStore
 from inkdex.streaming.ingest import document_stream, start_ingest
 
@@ -46,7 +46,7 @@ def located(spark, docs):
 
 
 def found(e, **request):
-    return [(r.doc_id, round(r.scores[0], 5)) for r in e.search(SearchRequest(**request)).docs.collect()]
+    return [(r.doc_id, round(r.scores[0], 5)) for r in e.find(Request(**request)).docs.collect()]
 
 
 def test_statistics(counted):
@@ -102,13 +102,13 @@ def test_score_arrays_compare_like_words(spark):
 
 
 def test_locations(located):
-    rows = {r.doc_id: r for r in located.search(SearchRequest(text="red apple")).docs.collect()}
+    rows = {r.doc_id: r for r in located.find(Request(text="red apple")).docs.collect()}
     assert {d: r.token_proximity for d, r in rows.items()} == {1: 1, 2: 6, 6: 13, 5: None}
     assert {d: r.token_snippet_locations for d, r in rows.items()} == {1: [0, 4], 2: [11, 20], 6: [10, 0], 5: None}
     assert rows[1].token_locations == [[0], [4, 17]] and rows[5].bm25 == 0
-    twice = {r.doc_id: r for r in located.search(SearchRequest(text="red red")).docs.collect()}
+    twice = {r.doc_id: r for r in located.find(Request(text="red red")).docs.collect()}
     assert twice[1].token_proximity == 3 and twice[1].token_snippet_locations == [0, 0]
-    assert located.search(SearchRequest(labels=["fruit"])).docs.where("token_proximity is not null").count() == 0
+    assert located.find(Request(labels=["fruit"])).docs.where("token_proximity is not null").count() == 0
 
 
 def test_truncation_and_document_index(spark, docs):
@@ -142,16 +142,16 @@ def test_reindex(spark, docs):
 def test_remove(spark, docs):
     e = engine(spark, docs)
     e.remove_document(docs.where("doc_id = 1"))
-    rows = {r.doc_id: r.fields for r in e.search(SearchRequest(text="red apple")).docs.collect()}
+    rows = {r.doc_id: r.fields for r in e.find(Request(text="red apple")).docs.collect()}
     assert rows[1] is None and rows[5].stars == 4
     e.delete_document(docs.where("doc_id = 1"))
     assert 1 not in dict(found(e, text="red apple"))
 
 
 def test_timeout(counted):
-    fine = counted.search(SearchRequest(text="red apple", timeout_ms=60_000))
+    fine = counted.find(Request(text="red apple", timeout_ms=60_000))
     assert not fine.timeout and [r.doc_id for r in ranking.rank(fine.docs).collect()] == [6, 1, 2, 5]
-    late = counted.search(SearchRequest(text="red apple", timeout_ms=1))
+    late = counted.find(Request(text="red apple", timeout_ms=1))
     assert late.timeout and late.docs.count() == 0
     assert len(found(counted, text="red apple")) == 4  # nothing is left cancelled
 
@@ -304,7 +304,7 @@ def test_odd_documents(spark):
         assert {r.doc_id: r.token_length for r in stats.collect()} == {1: 0, 2: 2, 3: 80_000}
     with Engine(spark) as e:
         e.index(df.limit(0))
-        assert e.search(SearchRequest(tokens=["a"])).docs.count() == 0 and index.corpus_stats(e.tables()[1]).first().n_docs == 0
+        assert e.find(Request(tokens=["a"])).docs.count() == 0 and index.corpus_stats(e.tables()[1]).first().n_docs == 0
 
 
 def test_dictionary(spark):
@@ -319,7 +319,7 @@ def test_dictionary(spark):
             postings, stats = e.tables()
             assert {(r.tok, tuple(r.starts)) for r in postings.where("doc_id = 1").collect()} == {("中国", (0,)), ("有", (6,)), ("十", (9,)), ("三", (12,)), ("亿", (15,)), ("人口", (18,))}
             assert {r.doc_id: r.token_length for r in stats.collect()} == {1: 6, 2: 2, 3: 2, 4: 0, 5: 4}
-            assert e.search(SearchRequest(text="中国人口")).tokens == ["中国", "人口"]
+            assert e.find(Request(text="中国人口")).tokens == ["中国", "人口"]
             assert [d for d, _ in found(e, text="中国人口")] == [1] and [d for d, _ in found(e, tokens=["人口多"])] == [2]
 
 
@@ -327,12 +327,12 @@ def test_requests_in_bulk(spark, counted):
     schema = "request_id bigint, text string, tokens array<string>, labels array<string>, doc_ids array<bigint>, reverse_order boolean, output_offset int, max_outputs int"
     asked = [(1, "red apple", None, None, None, False, 0, 2), (1, "red apple", None, None, None, False, 0, 2), (2, None, ["red"], ["fruit"], [1, 2], True, 0, 0), (3, "apple", None, None, None, None, None, None), (4, "red apple", None, None, [2, 1], False, 0, 5), (5, None, None, None, None, None, None, None), (6, "red zebra", None, [None], [], False, 0, 5), (7, "Red  apple", [], [], None, False, 1, 2)]
     postings, stats = counted.tables()
-    got = search_all(spark.createDataFrame(asked, schema), postings, stats, list(STOP)).collect()
+    got = answer_all(spark.createDataFrame(asked, schema), postings, stats, list(STOP)).collect()
     rows = {}
     for r in sorted(got, key=lambda r: (r.request_id, r.rank)):
         rows.setdefault(r.request_id, []).append(r.doc_id)
     assert rows == {1: [6, 1], 2: [2, 1], 7: [1, 2]}
-    assert search_all(spark.createDataFrame([], schema), postings, stats, []).count() == 0
+    assert answer_all(spark.createDataFrame([], schema), postings, stats, []).count() == 0
 
 
 def test_requests_without_a_limit(spark):
@@ -342,7 +342,7 @@ def test_requests_without_a_limit(spark):
     with Engine(spark, EngineOptions(stop_tokens=STOP)) as e:
         e.index(docs)
         rows = {}
-        for r in sorted(search_all(spark.createDataFrame(asked, schema), *e.tables(), list(STOP)).collect(), key=lambda r: (r.request_id, r.rank)):
+        for r in sorted(answer_all(spark.createDataFrame(asked, schema), *e.tables(), list(STOP)).collect(), key=lambda r: (r.request_id, r.rank)):
             rows.setdefault(r.request_id, []).append((r.rank, r.doc_id))
         one = [d for d, _ in found(e, tokens=["word"], labels=["all"])]
     assert len(one) == 25 and rows[1] == list(enumerate(one, 1))

@@ -30,8 +30,8 @@ def test_core_does_not_import_llm():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=queries.__file__.rsplit("/inkdex/", 1)[0])
 
 
-def test_search_requests_whole(agrees):
+def test_answer_requests_whole(agrees):
     """The registered SQL with its cap of 10 lifted from requests that set no limit."""
     cap = "case when coalesce(most, 0) > 0 then most else 10 end"
-    sql = queries.SQL["search_requests"].replace(cap, cap.replace("else 10", "else 1000000000"))
-    agrees(queries.QUERIES, {"search_requests": sql}, "search_requests")
+    sql = queries.SQL["answer_requests"].replace(cap, cap.replace("else 10", "else 1000000000"))
+    agrees(queries.QUERIES, {"answer_requests": sql}, "answer_requests")

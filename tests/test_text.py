@@ -25,7 +25,7 @@ def test_units(spark):
     got = [r[0] for r in df.select(text.units(F.col("t"))).collect()]
     assert got[0] == ["hello", ",", " ", "world", " ", "42", "中", "国", "Été"]
     assert got[1] == [] and got[2] is None and got[3] == ["a", "́", "b"] and got[4] == ["👩", "‍", "💻", "x"]
-    one = [r[0] for r in df.select(text.search_units(F.lit("hello"))).limit(1).collect()]
+    one = [r[0] for r in df.select(text.asked_units(F.lit("hello"))).limit(1).collect()]
     assert one == [[]]
 
 
@@ -66,7 +66,7 @@ def test_dictionary_file(entries):
 
 
 @pytest.mark.parametrize(
-    "line, search, want, parts",
+    "line, fine, want, parts",
     [
         ("中华人民共和国", False, [("中华人民共和国", 0, 21, "ns")], "中华 人民 共和 共和国 人民共和国 中华人民共和国"),
         ("中华人民共和国", True, [("中华", 0, 6, "nz"), ("人民共和国", 6, 21, "nt")], "中华 人民 共和 共和国 人民共和国"),
@@ -78,9 +78,9 @@ def test_dictionary_file(entries):
         ("hello world", True, [("hello", 0, 5, "x"), (" ", 5, 6, "x"), ("world", 6, 11, "x")], None),
     ],
 )
-def test_segments(entries, line, search, want, parts):
+def test_segments(entries, line, fine, want, parts):
     lex = seg.Lexicon.collect(entries)
-    got = lex.cut(line, search)
+    got = lex.cut(line, fine)
     assert got == want
     if parts is not None:
         assert " ".join(p for t, *_ in got for p in (lex.parts(t) if t in lex.entries else [t])) == parts
@@ -89,9 +89,9 @@ def test_segments(entries, line, search, want, parts):
 def test_segment_paths_agree(spark, entries):
     df = spark.createDataFrame([(1, "中华人民共和国有人口 Hello"), (2, None), (3, ""), (4, "中国"), (5, "中国有 人口" * 50)], "id bigint, content string")
     lex = seg.Lexicon.collect(entries)
-    for search in (True, False):
-        a = {r.id: r.segments for r in seg.segment(df, "id", "content", lex, search).collect()}
-        b = {r.id: r.segments for r in seg.segment_by_join(df, "id", "content", entries, search).collect()}
+    for fine in (True, False):
+        a = {r.id: r.segments for r in seg.segment(df, "id", "content", lex, fine).collect()}
+        b = {r.id: r.segments for r in seg.segment_by_join(df, "id", "content", entries, fine).collect()}
         assert a == b and a[2] == [] and a[3] == []
     c = {r.id: r.segments for r in seg.segment_by(df, "id", "content", entries, most=1).collect()}
     assert c == {r.id: r.segments for r in seg.segment_by(df, "id", "content", entries).collect()}
