@@ -128,8 +128,10 @@ class Generations:
         if disjoint and totals and self.manifest.indexed:
             older = _united([self._documents(g).select("doc_id") for g in self.manifest.indexed]).where(F.col("doc_id").between(min(r.lo for r in totals), max(r.hi for r in totals)))
             disjoint = older.join(documents.select("doc_id"), "doc_id", "left_semi").isEmpty()
-        new = Generation(path, n_docs=sum(r.n for r in totals), totals=[[r.shard, r.n, r.t] for r in totals], fields=f"{path}/documents" if "fields" in documents.columns else None)
         streams = self.manifest.streams | (dict([stream]) if stream else {})
+        if not totals and self.manifest.generations:  # nothing came: only the stream has moved on
+            return self.commit(streams=streams)
+        new = Generation(path, n_docs=sum(r.n for r in totals), totals=[[r.shard, r.n, r.t] for r in totals], fields=f"{path}/documents" if "fields" in documents.columns else None)
         self.commit(generations=[*self.manifest.generations, new], disjoint=disjoint, streams=streams)
 
     def add_fields(self, fields: DataFrame) -> None:

@@ -119,6 +119,12 @@ def _stop(spark, sf_dir):
     return dictionary.stop_list(table(spark, sf_dir, "stop_tokens"))
 
 
+def _built(spark, sf_dir, stop, index_type):
+    """An index of the current documents: postings, lengths, fields. Contents are cut once."""
+    docs = materialize(index.prepare(_docs(spark, sf_dir)).select("doc_id", "token_length", "_u", "tokens", "labels", "fields"), "documents")
+    return materialize(index.build_postings(docs, stop, index_type), "postings"), docs.select("doc_id", "token_length"), docs.select("doc_id", "fields")
+
+
 def _joined(c: str):
     return F.array_join(F.col(c).cast("array<string>"), " ")
 
@@ -184,19 +190,19 @@ def external_tokens(spark, sf_dir):
 @query(f"with {_KEYWORDS} select tok, doc_id from post")
 def postings_docids(spark, sf_dir):
     """The index that holds documents only."""
-    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.DOC_IDS)
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.DOC_IDS, placed=True)
 
 
 @query(f"with {_KEYWORDS} select tok, doc_id, cast(len(starts) as float) as tf from post")
 def postings_freq(spark, sf_dir):
     """The index with frequencies."""
-    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.FREQUENCIES)
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), IndexType.FREQUENCIES, placed=True)
 
 
 @query(f"with {_KEYWORDS} select tok, doc_id, cast(len(starts) as float) as tf, array_to_string(starts, ' ') as starts from post")
 def postings_locations(spark, sf_dir):
     """The index with places."""
-    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir)).withColumn("starts", _joined("starts"))
+    return index.build_postings(_docs(spark, sf_dir), _stop(spark, sf_dir), placed=True).withColumn("starts", _joined("starts"))
 
 
 @query(f"with {_KEYWORDS} select (select count(*) from post) as num_token_index_added, (select count(*) from cur) as num_documents_indexed")
@@ -336,12 +342,11 @@ _PAIR = "select a.doc_id, a.starts as s1, b.starts as s2 from (select doc_id, st
 
 
 def _located_hits(spark, sf_dir, tokens):
-    docs = materialize(_docs(spark, sf_dir), "documents")
-    postings = materialize(index.build_postings(docs), "postings")
-    return lookup.lookup(postings, index.doc_stats(docs), tokens, index_type=IndexType.LOCATIONS)
+    return lookup.lookup(*_built(spark, sf_dir, [], IndexType.LOCATIONS)[:2], tokens, index_type=IndexType.LOCATIONS)
 
 
-_ALL = _KEYWORDS.replace(_STOP, "stop as (select '' as tok)")
+#: Without stop tokens; each step is worked out once, and of the postings only those asked for.
+_ALL = _KEYWORDS.replace(_STOP, "stop as (select '' as tok)").replace("tk as (", "tk as materialized (").replace("as starts from tk group by", "as starts from tk where tok in ('these', 'our') group by").replace("where rn = 1 and tok is not null", "where rn = 1 and tok in ('these', 'our')").replace("unnest(labels) as tok from cur) where tok is not null", "unnest(labels) as tok from cur) where tok in ('these', 'our')")
 
 
 @query(f"with {_ALL} select doc_id, cast(case when len(s1) > 0 and len(s2) > 0 then list_min(flatten([[abs(b - a - 5) for b in s2] for a in s1])) end as int) as token_proximity from ({_PAIR})")
@@ -369,9 +374,8 @@ _FIELDS = "left join (select doc_id, fields from cur) f on f.doc_id = bm.doc_id"
 
 
 def _hits(spark, sf_dir, tokens=("most", "these")):
-    docs = materialize(_docs(spark, sf_dir), "documents")
-    postings = materialize(index.build_postings(docs, _stop(spark, sf_dir), IndexType.FREQUENCIES), "postings")
-    return lookup.lookup(postings, index.doc_stats(docs), list(tokens)).withColumn("bm25", F.round("bm25", 6)), docs.select("doc_id", "fields")
+    postings, stats, fields = _built(spark, sf_dir, _stop(spark, sf_dir), IndexType.FREQUENCIES)
+    return lookup.lookup(postings, stats, list(tokens)).withColumn("bm25", F.round("bm25", 6)), fields
 
 
 def _stars(df):
@@ -501,14 +505,16 @@ def store_recover(spark, sf_dir):
 
 @query(f"with {_KEYWORDS.replace(_STOP, 'stop as (select chr(0) as tok)')} select tok, count(*) as df from post group by tok")
 def ingest_documents(spark, sf_dir):
-    """Documents that arrive as a stream of files are indexed like those of one batch."""
+    """Documents that arrive as a stream of files, the engine and its stream started anew in between, are indexed like those of one batch."""
     docs = table(spark, sf_dir, "docs")
-    path = shared_path(spark, "arriving")
-    docs.repartition(4, "doc_id").write.parquet(path)
-    with Engine(spark) as engine:
-        ingest.start_ingest(engine, ingest.document_stream(spark, path, docs.schema), shared_path(spark, "progress"))
-        engine.flush()
-        return engine.tables()[0].groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    path, options, progress = shared_path(spark, "arriving"), EngineOptions(index_path=shared_path(spark, "index")), shared_path(spark, "progress")
+    for half in range(2):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).repartition(4, "doc_id").write.mode("append").parquet(path)
+        with Engine(spark, options) as engine:
+            ingest.start_ingest(engine, ingest.document_stream(spark, path, docs.schema), progress)
+            engine.flush()
+            found = engine.tables()[0].groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    return found
 
 
 # -- the dictionary
@@ -614,9 +620,8 @@ r as (select hit.request_id, hit.doc_id, hit.bm25, rq.output_offset as skip, rq.
   from hit join need on need.request_id = hit.request_id and need.n = hit.m join rq on rq.request_id = hit.request_id
   where rq.doc_ids is null or len(rq.doc_ids) = 0 or hit.doc_id between rq.doc_ids[1] and rq.doc_ids[2])
 select request_id, cast(rank as int) as rank, doc_id, cast(bm25 as double) as bm25 from r
-where rank > greatest(coalesce(skip, 0), 0) and rank <= greatest(coalesce(skip, 0), 0) + case when coalesce(most, 0) > 0 then most else 10 end""")
+where rank > greatest(coalesce(skip, 0), 0) and (coalesce(most, 0) <= 0 or rank <= greatest(coalesce(skip, 0), 0) + most)""")
 def answer_requests(spark, sf_dir):
     """Every request of the log answered from an index of the current documents, with all hits where it sets no limit."""
-    docs, stop = materialize(_docs(spark, sf_dir), "documents"), _stop(spark, sf_dir)
-    postings = materialize(index.build_postings(docs, stop, IndexType.FREQUENCIES), "postings")
-    return requests.answer_all(table(spark, sf_dir, "requests"), postings, index.doc_stats(docs), stop)
+    stop = _stop(spark, sf_dir)
+    return requests.answer_all(table(spark, sf_dir, "requests"), *_built(spark, sf_dir, stop, IndexType.FREQUENCIES)[:2], stop, digits=6)

@@ -29,9 +29,3 @@ def test_core_does_not_import_llm():
     code = "import sys; sys.modules['inkdex.llm'] = None; import __spark_entry__ as e; assert 'p3_found' in e.queries() and 'p2_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=queries.__file__.rsplit("/inkdex/", 1)[0])
 
-
-def test_answer_requests_whole(agrees):
-    """The registered SQL with its cap of 10 lifted from requests that set no limit."""
-    cap = "case when coalesce(most, 0) > 0 then most else 10 end"
-    sql = queries.SQL["answer_requests"].replace(cap, cap.replace("else 10", "else 1000000000"))
-    agrees(queries.QUERIES, {"answer_requests": sql}, "answer_requests")
