@@ -41,7 +41,7 @@ r as (select tok, doc_id, row_number() over (partition by tok order by w desc, d
 select tok, doc_id from r where k <= 5""")
 def p3_found(spark, sf_dir):
     """Of each tok with 1 % of all postings or more, the 5 documents of greatest tf."""
-    return skew.top_records_per_key(table(spark, sf_dir, "postings"), "tok", "doc_id", "tf", 5, min_share=0.01).select("tok", "doc_id")
+    return skew.top_records_per_key(table(spark, sf_dir, "postings"), "tok", "doc_id", "tf", 5, min_share=0.01, exact_repeats=True).select("tok", "doc_id")
 
 
 @query(f"""
@@ -49,7 +49,7 @@ select tok, doc_id, w as tf, cast(k as int) as rank from
 (select *, row_number() over (partition by tok order by w desc, doc_id) as k from ({_ONE})) where k <= 5""")
 def p3_top_docs(spark, sf_dir):
     """The 5 documents of greatest tf of every tok."""
-    return skew.top_records_per_key(table(spark, sf_dir, "postings"), "tok", "doc_id", "tf", 5)
+    return skew.top_records_per_key(table(spark, sf_dir, "postings"), "tok", "doc_id", "tf", 5, exact_repeats=True)
 
 
 @query(f"select tok, cast(sum(c) as bigint) as n_rows, count(doc_id) as n_records, cast(sum(w) as double) as total from ({_ONE}) group by tok")

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from inkdex.operators import skew
 
 SCHEMA = "tok string, doc_id bigint, tf float, _salt int"
@@ -29,7 +31,7 @@ def test_against_brute_force(spark):
         got = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5, exact_repeats=exact, **kw).collect()
         assert {(r.tok, r.doc_id) for r in got} == brute(rows, 5, kw.get("min_share", 0)) and len(got) == len({(r.tok, r.doc_id) for r in got})
     same = [(t, d, float(d * 7 % 11), s) for t, d, _, s in rows]  # exact repeats
-    got = skew.top_records_per_key(spark.createDataFrame(same * 2, SCHEMA), "tok", "doc_id", "tf", 5, min_share=0.01).collect()
+    got = skew.top_records_per_key(spark.createDataFrame(same * 2, SCHEMA), "tok", "doc_id", "tf", 5, min_share=0.01, exact_repeats=True).collect()
     assert {(r.tok, r.doc_id) for r in got} == brute(same, 5, 0.01)
     totals = {r.tok: (r.n_rows, r.n_records, r.total) for r in skew.totals_per_key(df, "tok", "doc_id", "tf").collect()}
     for t in ("hot", "warm"):
@@ -53,7 +55,7 @@ def test_edges(spark):
 
 def test_hot_rows_spread_before_the_shuffle(spark):
     df = spark.range(200_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 5000)) as tok", "id as doc_id", "cast(id % 97 as float) as tf", "0 as _salt")
-    plan = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5)._jdf.queryExecution().executedPlan().toString()
+    plan = skew.top_records_per_key(df, "tok", "doc_id", "tf", 5, exact_repeats=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # pruned on the map side
 
 
@@ -69,3 +71,17 @@ def test_long_hot_keys_count(spark):
     assert {(r.tok, r.doc_id) for r in got} == brute(rows, 5)
     totals = {r.tok: (r.n_rows, r.n_records) for r in skew.totals_per_key(df, "tok", "doc_id", "tf").collect()}
     assert [totals[t] for t in long] == [(300, 300), (40, 40), (5, 5)]
+
+
+def test_unequal_repeats_count_once(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 3.0), ("a", 2, 2.0), ("a", 2, float("nan")), ("b", None, 1.0)], "tok string, doc_id bigint, tf double")
+    got = {(r.tok, r.rank): (r.doc_id, r.tf) for r in skew.top_records_per_key(df, "tok", "doc_id", "tf", 5).collect()}
+    assert got == {("a", 1): (1, 3.0), ("a", 2): (2, 2.0), ("b", 1): (None, 1.0)}
+    assert {r.tok: (r.n_rows, r.n_records, r.total) for r in skew.totals_per_key(df, "tok", "doc_id", "tf").collect()} == {"a": (4, 2, 5.0), "b": (1, 0, 0.0)}
+
+
+def test_salts_follow_the_share(spark):
+    hot = skew.Hot(1_000_000, {"a": 300_000, "b": 10_000})
+    df = spark.range(2000).selectExpr("if(id % 2 = 0, 'a', if(id % 4 = 1, 'b', 'c')) as tok", "id as doc_id")
+    n = {r.tok: r.n for r in skew.with_salt(df, F.col("tok"), F.col("doc_id"), hot).groupBy("tok").agg(F.count_distinct("_salt").alias("n")).collect()}
+    assert n == {"a": 4, "b": 2, "c": 1}  # of 4 tasks: 0.3 x 4 x 2, rounded up to a power of two
