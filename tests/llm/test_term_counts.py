@@ -7,12 +7,12 @@ SCHEMA = "term string, rec bigint, w float, _t string, documents bigint"
 
 
 def brute(rows):
-    seen = {(t, r, max(w or 0.0, 0.0) if w == w else 0.0) for t, r, w, *_ in rows if t}
-    docs, occ = defaultdict(set), defaultdict(float)
-    for t, r, w in seen:
-        occ[t] += w if r is not None else 0
-        docs[t] |= {r} if r is not None else set()
-    return {t: (len(docs[t]), occ[t]) for t in occ}
+    best = defaultdict(dict)
+    for t, r, w, *_ in rows:
+        if t:
+            best[t].setdefault(r, 0.0)
+            best[t][r] = max(best[t][r], w if w and w == w else 0.0)
+    return {t: (len(x) - (None in x), sum(w for r, w in x.items() if r is not None)) for t, x in best.items()}
 
 
 def got(df, **kw):
@@ -44,3 +44,10 @@ def test_heavy_rows_collapse_before_the_shuffle(spark):
     plan = tc.term_counts(df, "term", "rec", "w")
     assert plan.where("term = 'heavy'").first().documents == 50_000
     assert plan.count() == 50_001
+
+
+def test_unequal_repeats_and_null_records(spark):
+    rows = [("h", r % 70_000, float(r % 5), "x", 1) for r in range(100_000)] + [("n", None, 1.0, "x", 1)] * 5_000 + [("l", 1, 3.0, "x", 1), ("l", 1, 1.0, "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    want = brute(rows)
+    assert got(df) == want and want["n"] == (0, 0.0) and want["l"] == (1, 3.0)
