@@ -114,8 +114,7 @@ def p5_found(spark, sf_dir):
 @query()
 def p5_canonical(spark, sf_dir):
     """The canonical form of every current content."""
-    docs = table(spark, sf_dir, "docs").select("doc_id", canonical.canonical(F.col("content")).alias("canonical"), "revision")
-    return docs.distinct().groupBy("doc_id").agg(F.max_by("canonical", "revision").alias("canonical"))
+    return canonical.canonical_rows(table(spark, sf_dir, "docs"), "doc_id", "content", "revision")
 
 
 # -- problem 8: text read in a wrong encoding

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from inkdex.llm import canonical as ca
 
-same = ca.canonical_text
+LOOK = ca.look_of(tuple(ca.LOOKALIKES.items()))
+same = lambda t: ca.canonical_text(t, LOOK)
 
 EQUAL = ["Ｐedi|Pedi", "P­e​d‍i﻿|Pedi", "été|été", "саt|cat", "Key|Key|Κey|Кey", "a b c　d|a b c d", "ﬁn|fin", "⽂字|文字", "１２|12", "ọ̇|ọ̇", "가|가", "ё|ë|ё", "ԁog|dog", "sɡript|sgript", "x️|x", "ﾊﾞ|バ", "½⁠|½"]
 DIFFERENT = ["e|é", "A|a", "a b|a  b", "a\nb|a b", "!|！", "…|...", "²|2", "0|O", "ſ|s", "ss|ß", "и|u", "д|g", "“|\"", "-|–", "a\tb|a b", "①|1", "ϐ|β", "ㄱㅏ|가"]
@@ -29,7 +30,7 @@ def test_different(line):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs", "Cn"]), st.sampled_from("ẹ́̇аесｅﬁ​각가각ཱི̈́क़")), max_size=12))
 def test_segments_are_spliced_as_if_the_whole_text_were_normalized(t):
-    assert same(t) == ca._normal(t)
+    assert same(t) == ca._normal(t, LOOK.pairs)
     assert same(same(t)) == same(t)
     assert unicodedata.normalize("NFC", same(t)) == same(t)
 
@@ -37,7 +38,7 @@ def test_segments_are_spliced_as_if_the_whole_text_were_normalized(t):
 def test_column(spark):
     rows = [None, "", "plain ASCII\twith\nlines", "café " * 50_000, "ｃａｆé"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
-    assert [r[0] for r in df.select(ca.canonical(F.col("t"))).collect()] == [None, "", rows[2], rows[3], "café"]
+    assert [r[0] for r in df.select(ca.canonical(F.col("t"), LOOK)).collect()] == [None, "", rows[2], rows[3], "café"]
 
 
 SCHEMA = "f string, id bigint, t string, v int, g string, look string"
@@ -73,3 +74,24 @@ def test_pairs_against_brute_force(spark):
 def test_a_hot_text_meets_only_its_variants(spark):
     df = spark.range(3000).selectExpr("'a' as f", "id", "if(id % 1000 = 7, 'hοt', 'hot') as t")
     assert ca.lookalike_pairs(df, "f", "id", "t").count() == 3 * 2997
+
+
+def test_published_table(spark):
+    known = ca.published_lookalikes(spark)
+    assert len(known) > 60 and not set(known) & set(ca.LOOKALIKES)
+    assert {c: known.get(c) for c in "ρυѵսոᎪꓮⲞαг"} == dict(zip("ρυѵսոᎪꓮⲞαг", "puvunAAOar"))
+    assert not {"ı", "ι", "σ", "и", "д", "þ"} & set(known)  # no dot, a second letter for o, other shapes
+    full = ca.look(spark)
+    for line in EQUAL:
+        assert len({ca.canonical_text(x, full) for x in line.split("|")}) == 1
+    for a, b in (line.split("|") for line in DIFFERENT):
+        assert ca.canonical_text(a, full) != ca.canonical_text(b, full)
+    assert ca.canonical_text("Ꭺρυս", full) == "Apuu"
+
+
+def test_current_rows(spark):
+    df = spark.createDataFrame([(1, "ｏld", 1, "x"), (1, "ｎew", 2, "x"), (2, "ｎull", None, "x"), (3, None, 2, "x"), (3, "x", 1, "x"), (4, "", None, "x")], "doc_id bigint, content string, revision int, canonical string")
+    got = ca.canonical_rows(df, "doc_id", "content", "revision")
+    assert {r.doc_id: r.canonical for r in got.collect()} == {1: "new", 2: "null", 3: None, 4: ""}
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+    assert ca.canonical_rows(df.limit(0), "doc_id", "content", "revision").count() == 0
