@@ -1,6 +1,6 @@
 """Held-out passages inside long documents: size-partitioned MinHash containment, verified exactly.
 
-A passage is ``run`` consecutive words of an item. MinHash estimates containment only where the two sets are of like
+A passage is ``run`` consecutive words of an item, whatever the item's own length, as any part of it that long counts. MinHash estimates containment only where the two sets are of like
 size, so documents and items are partitioned into windows of one size class, that of the passage: ``run`` words, or
 run - shingle + 1 word shingles. A document that holds the passage has a window with the same shingle set, where
 containment and Jaccard similarity are 1, and there one minimum already agrees with certainty: so nothing is
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.words import blocks, hashed_words, mix, runs, words_of
+from inkdex.runtime import materialize
 
 RUN, SHINGLE = 12, 5
 #: Item text that is broadcast at most, in characters; beyond it signatures and candidates are joined by shuffle.
 BROADCAST_CHARS = 16 << 20
+#: Bits, as a power of two, of the filter that documents' signatures pass before such a join (8 MB).
+FILTER = 26
 #: Characters that a task splits into words at once.
 BLOCK = 1 << 20
 
@@ -74,7 +77,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
     texts are read, whatever their length.
 
     Items of up to ``broadcast_chars`` characters in all (counted first) go to every task, and one pass over the
-    documents without any shuffle does it all. Larger sets of items meet the documents in joins on the signature.
+    documents without any shuffle does it all. Larger sets of items meet the documents in joins on the signature, which
+    only those signatures of documents enter that pass a filter of the items' (8 MB, however many there are).
     """
     if shingle > run:
         raise ValueError("a shingle is no longer than a run")
@@ -130,8 +134,20 @@ def _by_join(d: DataFrame, i: DataFrame, ik: str, dk: str, run: int, shingle: in
             if keep:
                 yield b.select(["d", "i"]).take(pa.array(keep))
 
-    left = d.mapInArrow(signed, f"k {dk}, s bigint").distinct()
-    right = i.mapInArrow(signed, f"k {ik}, s bigint").distinct()
+    right = materialize(i.mapInArrow(signed, f"k {ik}, s bigint").distinct(), "item-signatures")
+    slots = F.shiftrightunsigned("s", 64 - FILTER)
+    rows = right.groupBy(F.shiftright(slots, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - FILTER}) & 63 as int))")).alias("m")).toArrow()  # one row a word at most
+    words = np.zeros(1 << (FILTER - 6), np.uint64)
+    words[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
+    side = d.sparkSession.sparkContext.broadcast(words)
+
+    def asked(batches):  # only signatures that an item may have are shuffled
+        held = side.value
+        for b in signed(batches):
+            slot = b.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)
+            yield b.filter(pa.array((held[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1))
+
+    left = d.mapInArrow(asked, f"k {dk}, s bigint").distinct()
     pairs = left.withColumnRenamed("k", "d").join(right.withColumnRenamed("k", "i"), "s").select("d", "i").distinct()
     rows = pairs.join(d, "d").withColumnRenamed("t", "dt").join(i, "i").select("d", "i", "dt", F.col("t").alias("it"))
     return rows.mapInArrow(verify, f"d {dk}, i {ik}").distinct()

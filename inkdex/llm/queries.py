@@ -78,7 +78,11 @@ def p6_ids(spark, sf_dir):
 # -- problem 7: evaluation passages in the corpus
 
 
-@query()
+_PASSAGES = """select {k}, array_to_string(w[i:i + 11], ' ') as passage from (select {k}, w, unnest(range(1, len(w) - 10)) as i
+  from (select {k}, regexp_extract_all(regexp_replace(replace(lower(text), 'ß', 'ss'), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+') as w from {t}) where len(w) >= 12)"""
+
+
+@query(f"select distinct doc_id, item_id from ({_PASSAGES.format(k='doc_id', t='documents')}) d join ({_PASSAGES.format(k='item_id', t='eval_items')}) i on d.passage = i.passage")
 def p7_found(spark, sf_dir):
     """Documents that hold 12 consecutive words of an evaluation item."""
     return containment.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
@@ -87,7 +91,13 @@ def p7_found(spark, sf_dir):
 # -- problem 1: near-duplicate contents
 
 
-@query()
+@query("""with cur as (select doc_id, content from docs qualify row_number() over (partition by doc_id order by revision desc nulls last) = 1),
+x as (select doc_id, lower(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))) as t from cur),
+y as (select doc_id, t from x where length(t) >= 40),
+s as materialized (select distinct doc_id, t[i:i + 4] as g from (select doc_id, t, unnest(range(1, length(t) - 3)) as i from y)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as both_ from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all)
+select doc_a, doc_b from b join n na on na.doc_id = doc_a join n nb on nb.doc_id = doc_b where both_ * 10 >= 6 * (na.n + nb.n - both_)""")
 def p1_found(spark, sf_dir):
     """Pairs of records whose current contents have a similarity of 0.6 or more."""
     return minmax.near_duplicates(table(spark, sf_dir, "docs"), "doc_id", "content", "revision").pairs()
