@@ -80,27 +80,52 @@ class ParquetStore:
         """Nothing is open between calls."""
 
 
+def _version() -> int:
+    return time.time_ns()
+
+
 class JdbcStore:
-    """A table of a relational database by Spark's JDBC source; its driver must be on the class path."""
+    """A table of a relational database by Spark's JDBC source; its driver must be on the class path.
+
+    Spark's source can only append, so documents are stored as versions and a deletion is a version without a document;
+    ``recover`` takes the latest. The table has the schema's columns, all null in a deletion but doc_id, and two more.
+    """
 
-    def __init__(self, spark: SparkSession, url: str, table: str, schema, properties: dict[str, str] | None = None):
-        self.spark, self.url, self.table, self.schema, self.properties = spark, url, table, schema, properties or {}
+    def __init__(self, spark: SparkSession, url: str, table: str, schema, properties: dict[str, str] | None = None, shards: int = 8):
+        self.spark, self.url, self.table, self.schema, self.properties, self.shards = spark, url, table, schema, properties or {}, shards
 
     def storage_shards(self) -> int:
-        return 1
+        return self.shards
 
     def create(self) -> None:
         """Makes the table if it isn't there."""
-        self.spark.createDataFrame([], self.schema).write.mode("ignore").jdbc(self.url, self.table, properties=self.properties)
+        empty = self.spark.createDataFrame([], self.schema).withColumns({"doc_version": F.lit(0).cast("bigint"), "doc_deleted": F.lit(False)})
+        empty.write.mode("ignore").jdbc(self.url, self.table, properties=self.properties)
 
     def set(self, docs: DataFrame) -> None:
-        docs.select(*[f.name for f in self.schema]).write.mode("append").jdbc(self.url, self.table, properties=self.properties)
+        """Upserts by doc_id; of a doc_id's repeats within ``docs`` one counts. Rows with a null doc_id are refused."""
+        refused = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a document needs a doc_id"))).otherwise(F.col("doc_id"))
+        rows = docs.dropDuplicates(["doc_id"]).withColumn("doc_id", refused.cast("bigint")).select(*[f.name for f in self.schema])
+        rows.withColumns({"doc_version": F.lit(_version()), "doc_deleted": F.lit(False)}).write.mode("append").jdbc(self.url, self.table, properties=self.properties)
 
     def delete(self, ids: DataFrame) -> None:
-        raise NotImplementedError("Spark's JDBC source has no delete; delete in the database")
+        """Deletes documents by ``doc_id``; unknown ones are ignored."""
+        gone = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+        rows = gone.select(*[(F.col("doc_id") if f.name == "doc_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in self.schema])
+        rows.withColumns({"doc_version": F.lit(_version()), "doc_deleted": F.lit(True)}).write.mode("append").jdbc(self.url, self.table, properties=self.properties)
 
     def recover(self) -> DataFrame:
-        return self.spark.read.jdbc(self.url, self.table, properties=self.properties)
+        """All stored documents, read in ranges of doc_id, one connection a shard."""
+        whole = self.spark.read.jdbc(self.url, self.table, properties=self.properties)
+        bounds = whole.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()  # reads the one column
+        if bounds.lo is None or bounds.lo == bounds.hi:
+            rows = whole
+        else:
+            rows = self.spark.read.jdbc(self.url, self.table, column="doc_id", lowerBound=bounds.lo, upperBound=bounds.hi + 1, numPartitions=self.shards, properties=self.properties)
+        rows = rows.toDF(*[f.name for f in self.schema], "doc_version", "doc_deleted")  # databases change the case of names
+        latest = Window.partitionBy("doc_id").orderBy(F.col("doc_version").desc())
+        rows = rows.withColumn("n", F.row_number().over(latest)).where("n = 1 and not doc_deleted")
+        return rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
 
     def close(self) -> None:
         """Connections are Spark's."""

@@ -7,6 +7,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from inkdex.model import EngineOptions, IndexType, RankOptions, Request
 from inkdex.operators import index, lookup, proximity, ranking
+from inkdex.plans import requests
 from inkdex.plans.engine import Engine
 from inkdex.plans.requests import answer_all
 from inkdex.sources.store import ParquetStore
@@ -194,7 +195,15 @@ def test_jdbc_store(spark):
     s.create()
     assert s.recover().count() == 0
     s.set(spark.createDataFrame([(1, "a"), (2, None)], schema))
-    assert sorted((r[0], r[1]) for r in s.recover().collect()) == [(1, "a"), (2, None)]
+    stored = lambda: sorted(map(tuple, s.recover().collect()))
+    assert stored() == [(1, "a"), (2, None)] and s.recover().columns == ["doc_id", "content"]
+    s.set(spark.createDataFrame([(1, "b"), (3, "c"), (3, "c")], schema))
+    s.delete(spark.createDataFrame([(2,), (9,), (None,)], "doc_id bigint"))
+    assert stored() == [(1, "b"), (3, "c")]
+    s.set(spark.createDataFrame([(2, "back")], schema))
+    assert stored() == [(1, "b"), (2, "back"), (3, "c")]
+    with pytest.raises(Exception, match="needs a doc_id"):
+        s.set(spark.createDataFrame([(None, "x")], schema))
 
 
 def test_mongo_store_deletes(spark, tmp_path):
@@ -347,3 +356,140 @@ def test_requests_without_a_limit(spark):
         one = [d for d, _ in found(e, tokens=["word"], labels=["all"])]
     assert len(one) == 25 and rows[1] == list(enumerate(one, 1))
     assert {k: [n for n, _ in x] for k, x in rows.items()} == {1: [*range(1, 26)], 2: [*range(4, 26)], 3: [3, 4, 5, 6], 4: [*range(1, 17)]}
+
+
+def test_an_empty_engine_finds_nothing(spark):
+    for kind in IndexType:
+        with Engine(spark, EngineOptions(index_type=kind)) as e:
+            assert e.find(Request(tokens=["a"], labels=["b"])).docs.count() == 0 and e.counters() == {"num_token_index_added": 0, "num_documents_indexed": 0}
+
+
+def test_restart(spark, docs, counted, tmp_path):
+    """A second engine on the same folder finds everything, with its fields, without indexing it again."""
+    options = EngineOptions(stop_tokens=STOP, index_path=str(tmp_path / "index"), most_generations=2)
+    with Engine(spark, options) as e:
+        for k in range(1, 7):
+            e.index(docs.where(f"doc_id = {k}"))
+        assert len(e.generations.manifest.generations) <= 3 and e.generations.manifest.disjoint
+    want = sorted(found(counted, text="red apple"))
+    with Engine(spark, options) as e:
+        assert sorted(found(e, text="red apple")) == want and e.counters() == counted.counters()
+        assert {r.doc_id: r.fields and r.fields.stars for r in e.find(Request(text="red apple")).docs.collect()} == {1: 5, 2: None, 5: 4, 6: 2}
+        assert e.generations.corpus() is not None
+        e.index(docs.where("doc_id = 2"))  # the same again: it doesn't count twice
+        assert e.counters() == counted.counters()
+        assert sorted(found(e, text="red apple")) == want
+        e.remove_document(docs.where("doc_id = 5"))
+    with Engine(spark, options) as e:
+        e.compact()
+        assert len(e.generations.manifest.generations) == 1 and sorted(found(e, text="red apple")) == want
+        assert {r.doc_id: r.fields and r.fields.stars for r in e.find(Request(text="red apple")).docs.collect()} == {1: 5, 2: None, 5: None, 6: 2}
+    late = Engine(spark, options)
+    with Engine(spark, options) as e:
+        e.index(docs.where("doc_id = 1"))
+    with pytest.raises(Exception, match="exist"):  # of two writers that start from the same manifest one fails
+        late.index(docs.where("doc_id = 2"))
+
+
+def test_stream_restart(spark, docs, counted, tmp_path):
+    options = EngineOptions(stop_tokens=STOP, index_path=str(tmp_path / "index"))
+    for part in ("doc_id < 4", "doc_id >= 4"):
+        docs.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        with Engine(spark, options) as e:
+            start_ingest(e, document_stream(spark, str(tmp_path / "in"), docs.schema, 1), str(tmp_path / "progress"))
+            e.flush()
+            n = e.counters()["num_documents_indexed"]
+    assert n == 6
+    with Engine(spark, options) as e:
+        assert sorted(found(e, text="red apple")) == sorted(found(counted, text="red apple"))
+        name, number = next(iter(e.generations.manifest.streams.items()))
+        e.index(docs, stream=(name, number))  # a batch that was committed before
+        assert len(e.generations.manifest.indexed) == len(Engine(spark, options).generations.manifest.indexed)
+    with Engine(spark, EngineOptions(stop_tokens=STOP)) as e, pytest.raises(ValueError, match="checkpoint"):
+        start_ingest(e, document_stream(spark, str(tmp_path / "in"), docs.schema, 1), str(tmp_path / "progress"))
+
+
+def test_own_parts(spark, docs):
+    """A segmenter, an indexer and a ranker of one's own."""
+    from inkdex.plans.parts import FieldRanker, PostingIndexer
+
+    class Blanks:
+        def tokens(self, text):
+            return text.split(" ")
+
+        def column(self, text, spark):
+            return F.split(text, " ")
+
+    class Fresh(PostingIndexer):
+        def postings(self, documents):
+            return super().postings(documents.where("doc_id <> 5"))
+
+    class Oldest(FieldRanker):
+        def rank(self, hits, fields, options):
+            return hits.orderBy("doc_id").withColumn("scores", F.array(F.col("doc_id").cast("double")))
+
+    with Engine(spark, EngineOptions(dictionary=Blanks(), indexer=Fresh, ranker=Oldest)) as e:
+        e.index(docs)
+        got = e.find(Request(text="red apple"))
+        assert got.tokens == ["red", "apple"] and [r.doc_id for r in got.docs.collect()] == [1, 2, 6]
+        assert [r.doc_id for r in e.find(Request(tokens=["red", "apple,"])).docs.collect()] == [1]
+
+
+def test_many_stop_tokens(spark, docs):
+    many = [f"stop{i}" for i in range(2_000)] + ["red", " "]
+    few = {(r.tok, r.doc_id) for r in index.build_postings(docs, ["red", " "], IndexType.DOC_IDS).collect()}
+    for stop in (many, spark.createDataFrame([(t,) for t in many], "tok string")):
+        assert {(r.tok, r.doc_id) for r in index.build_postings(docs, stop, IndexType.DOC_IDS).collect()} == few
+    asked = [(1, "Red apple pie", None), (2, None, ["red"]), (3, "red ", None), (4, "", None)]
+    rows = spark.createDataFrame(asked, "request_id bigint, text string, tokens array<string>")
+    for stop in (["red", " "], many, spark.createDataFrame([(t,) for t in many], "tok string")):
+        assert {r.request_id: r.q for r in requests.with_tokens(rows, stop).collect()} == {1: ["apple", "pie"], 2: ["red"], 3: [], 4: []}
+
+
+def test_lengths_need_no_shuffle(spark, docs):
+    plan = index.doc_stats(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "Exchange" not in plan
+    plan = index.build_postings(docs, [], IndexType.FREQUENCIES)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan
+
+
+def test_ranking_in_bulk(spark):
+    """Whole and bounded rankings over skewed groups against a plain sort."""
+    rows = [(g, (i * 37 % 100) / 7, i) for g, n in ((1, 3000), (2, 5), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, s double, doc_id bigint")
+    order = [F.col("s").desc(), F.col("doc_id").desc()]
+    want = {g: [d for _, _, d in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], -x[2]))] for g in (1, 2, 3)}
+    for got, most in ((requests.rank_all(df, "g", order), None), (requests.rank_some(df, "g", order, "doc_id", 7), 7)):
+        by = {}
+        for r in sorted(got.collect(), key=lambda r: r.rank):
+            by.setdefault(r.g, []).append((r.rank, r.doc_id))
+        assert by == {g: list(enumerate(x[:most], 1)) for g, x in want.items()}
+    plan = requests.rank_some(df, "g", order, "doc_id", 7)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_bulk_options(spark, docs):
+    """Dictionary, scorer, fields and shards for a whole log, against the engine's single requests."""
+    from inkdex.operators import segment as seg
+
+    schema = "request_id bigint, text string, tokens array<string>, labels array<string>, doc_ids array<bigint>, reverse_order boolean, output_offset int, max_outputs int"
+    log = spark.createDataFrame([(1, "red apple", None, None, None, False, 0, 0), (2, None, ["apple"], ["fruit"], None, True, 0, 2)], schema)
+    lexicon = seg.Lexicon({"red apple": (1.0, "n"), "pie": (2.0, "n")})
+    stars = lambda d: F.when(d["fields.stars"].isNotNull(), F.array(d["fields.stars"].cast("double")))
+    with Engine(spark, EngineOptions(stop_tokens=STOP, dictionary=lexicon)) as e:
+        e.index(docs)
+        got = requests.answer_all(log, *e.tables(), list(STOP), segmenter=lexicon, fields=e.generations.fields(), scorer=stars)
+        rows = {}
+        for r in sorted(got.collect(), key=lambda r: (r.request_id, r.rank)):
+            rows.setdefault(r.request_id, []).append((r.doc_id, r.scores[0]))
+        options = (RankOptions(scorer=stars), RankOptions(scorer=stars, reverse_order=True, max_outputs=2))
+        for k, ask in enumerate((Request(text="red apple", rank_options=options[0]), Request(tokens=["apple"], labels=["fruit"], rank_options=options[1])), 1):
+            assert rows.get(k, []) == [(r.doc_id, r.scores[0]) for r in e.find(ask).docs.collect()]
+    with Engine(spark, EngineOptions(stop_tokens=STOP, num_shards=3)) as e:
+        e.index(docs)
+        postings, stats = e.tables()
+        shards = {r.doc_id: r.shard for r in stats.collect()}
+        shard = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv])[F.col("doc_id")]
+        got = {(r.request_id, r.doc_id): r.bm25 for r in requests.answer_all(log, postings, stats, list(STOP), shard=shard).collect()}
+        for d, s in found(e, text="red apple"):
+            assert got[1, d] == pytest.approx(s, abs=1e-5)
