@@ -361,7 +361,14 @@ def token_locations(spark, sf_dir):
     return _located_hits(spark, sf_dir, ["these", "our"]).select("doc_id", F.array_join(F.transform("token_locations", lambda x: F.array_join(x.cast("array<string>"), " ")), "|").alias("places"))
 
 
-@query()
+@query(f"""with {_ALL}, pair as ({_PAIR}),
+one as (select doc_id, s1, s2, unnest(range(1, len(s1) + 1)) as i from pair where len(s1) > 0 and len(s2) > 0),
+to2 as (select *, abs(s2[j] - s1[i] - 5) as c2 from (select doc_id, s1, s2, i, unnest([low, low + 1]) as j from (select *, greatest(len(list_filter(s2, lambda x: x < s1[i])), 1) as low from one)) where j <= len(s2)),
+best2 as (select * from to2 qualify row_number() over (partition by doc_id, j order by c2, i) = 1),
+to3 as (select *, c2 + abs(s1[l] - s2[j] - 3) as c3 from (select doc_id, s1, s2, i, j, c2, unnest([low, low + 1]) as l from (select *, greatest(len(list_filter(s1, lambda x: x < s2[j])), 1) as low from best2)) where l <= len(s1)),
+best3 as (select * from to3 qualify row_number() over (partition by doc_id, l order by c3, j) = 1),
+best as (select * from best3 qualify row_number() over (partition by doc_id order by c3, l) = 1)
+select pair.doc_id, cast(c3 as int) as token_proximity, best.s1[i] || ' ' || best.s2[j] || ' ' || best.s1[l] as snippet from pair left join best on best.doc_id = pair.doc_id""")
 def snippet_locations(spark, sf_dir):
     """Where the tokens stand closest; three tokens, one of them twice."""
     return _located_hits(spark, sf_dir, ["these", "our", "these"]).select("doc_id", "token_proximity", _joined("token_snippet_locations").alias("snippet"))
@@ -532,6 +539,15 @@ def dictionary_load(spark, sf_dir):
     return _entries(spark, sf_dir).select("text", "freq", "pos")
 
 
+@query(f"with {_ENTRIES.replace('where text', 'where freq is not null and not regexp_matches(text, chr(91) || chr(32) || chr(9) || chr(13) || chr(10) || chr(93)) and text')} select text, freq, pos from en")
+def dictionary_file(spark, sf_dir):
+    """The same through dictionary files of one 'text freq pos' a line, of the entries that such a line can hold."""
+    path = shared_path(spark, "dictionary")
+    rows = table(spark, sf_dir, "dictionary").dropDuplicates(["entry_id"]).where("freq is not null and text <> '' and not text rlike '[ \\t\\r\\n]'")
+    rows.coalesce(1).sortWithinPartitions("entry_id").select(F.concat_ws(" ", "text", F.col("freq").cast("string"), "pos").alias("value")).write.text(path)
+    return dictionary.read_dictionary(spark, path).select("text", "freq", "pos")
+
+
 @query(f"with {_ENTRIES} select count(*) as num_tokens, cast(coalesce(sum(freq), 0) as bigint) as total_frequency, cast(coalesce(max(len(regexp_extract_all(text, '{_UNIT}'))), 0) as int) as max_token_length from en")
 def dictionary_totals(spark, sf_dir):
     """Entries, frequencies and the longest entry in units."""
@@ -554,7 +570,35 @@ def dict_prefix_lookup(spark, sf_dir):
     return segment.prefix_lookup(text.units(F.col("text")), entries, asked).select("text", "entry", "n_words")
 
 
-@query()
+def _segments(keyed: str) -> str:
+    """SQL of the cheapest segmentation of (k, t, fine) rows: costs unit by unit, each from the costs of the units before, then
+    the way back from the end. Of equal costs the first start counts, so costs are compared as they add up in 32 bits."""
+    return f"""{_ENTRIES}, total as (select sum(freq) as total from en),
+dist as materialized (select text, pos, cast(log2(total) as float) - cast(log2(freq) as float) as d from en, total),
+longest as (select coalesce(max(len(regexp_extract_all(text, '{_UNIT}'))), 1) as longest from en),
+keyed as ({keyed}),
+un as materialized (select k, a, len(a) as u, fine from (select k, fine, regexp_extract_all({_LOW % 't'}, '{_UNIT}') as a from keyed) where len(a) > cast(fine as int)),
+unit as (select k, a, u, fine, unnest(range(u)) as i from un),
+gram as (select k, u, i, n, array_to_string(a[i + 1:i + n], '') as text from (select k, a, u, i, fine, unnest(range(1, least(longest, u - i) + 1)) as n from unit, longest) where not (fine and n = u)),
+hit as (select k, i as b, i + n as e, d, pos from gram join dist using (text)),
+alone as (select unit.k, i as b, i + 1 as e, cast(32 as float) as d, 'x' as pos from unit left join hit on hit.k = unit.k and hit.b = i and hit.e = i + 1 where hit.k is null or strlen(a[i + 1]) > 1),
+alone_ as (select distinct on (k, b) * from alone),
+step as materialized (select k, e, list(struct_pack(b := b, d := d, pos := pos) order by b, o) as c from (select *, 0 as o from hit union all select *, 1 from alone_) group by k, e),
+way(k, e, costs, came, pos) as (
+  select k, 0, [cast(0 as float)], cast(0 as bigint), '' from un
+  union all
+  select k, e + 1, (costs || [best.d])[-(select longest from longest) - 1:], best.b, best.pos from (
+    select w.k, w.e, w.costs, list_reduce([struct_pack(b := x.b, d := w.costs[x.b - w.e - 1] + x.d, pos := x.pos) for x in s.c], lambda p, q: case when q.d < p.d then q else p end) as best
+    from way w join step s on s.k = w.k and s.e = w.e + 1)),
+back(k, e, b, pos) as (
+  select way.k, way.e, came, pos from way join un on un.k = way.k and way.e = u
+  union all
+  select way.k, way.e, way.came, way.pos from back join way on way.k = back.k and way.e = back.b where back.b > 0),
+seg as (select back.k, b, e, pos, array_to_string(a[b + 1:e], '') as text, coalesce(strlen(array_to_string(a[1:b], '')), 0) as start, e - b as n from back join un using (k))"""
+
+
+@query(f"""with recursive {_CUR}, {_segments("select doc_id as k, content as t, true as fine from cur where content <> ''")}
+select k as doc_id, cast(row_number() over (partition by k order by b) - 1 as int) as n, text, cast(start as int) as start, cast(start + strlen(text) as int) as "end", pos from seg""")
 def segment_dict(spark, sf_dir):
     """Current contents segmented by the dictionary, which goes to every task if it is small enough and else meets them in a join."""
     entries = materialize(_entries(spark, sf_dir), "entries")
@@ -570,7 +614,12 @@ def _cut_requests(spark, sf_dir, fine=True):
     return cuts, lexicon, entries
 
 
-@query()
+@query(f"""with recursive {_segments("select distinct 'r' || text as k, text as t, false as fine from requests where text <> '' union all select 'e' || text, text, true from en")},
+node(k, path, text) as (
+  select k, [b], text from seg where k[1] = 'r'
+  union all
+  select node.k, path || [seg.b], seg.text from node join seg on seg.k = 'e' || node.text and seg.n > 1)
+select keyed.t as text, coalesce(tokens, '') as tokens from keyed left join (select k, string_agg(text, '|' order by path || [1000000000]) as tokens from node group by k) n on n.k = keyed.k where keyed.k[1] = 'r'""")
 def subtoken_expand(spark, sf_dir):
     """The texts asked for, segmented, with the finer entries inside each."""
     cuts, lexicon, entries = _cut_requests(spark, sf_dir, False)
@@ -578,7 +627,8 @@ def subtoken_expand(spark, sf_dir):
     return parts.select("text", F.array_join("tokens", "|").alias("tokens"))
 
 
-@query()
+@query(f"""with recursive {_segments("select distinct text as k, text as t, true as fine from requests where text <> ''")}
+select keyed.k as text, coalesce(line, '') as line from keyed left join (select k, string_agg(text || '/' || pos || ' ', '' order by b) as line from seg group by k) s on s.k = keyed.k""")
 def segments_to_string(spark, sf_dir):
     """The texts asked for, segmented, with parts of speech."""
     return _cut_requests(spark, sf_dir)[0].select("text", segment.segments_to_string(F.col("segments")).alias("line"))
@@ -595,7 +645,18 @@ def query_tokens(spark, sf_dir):
     return rows.select("request_id", F.array_join(requests.asked_tokens(F.col("text"), F.col("tokens"), _stop(spark, sf_dir)), "|").alias("tokens"))
 
 
-@query()
+#: The published hash over the bytes of '%d' and an id, word by word, in 64-bit arithmetic.
+_MURMUR = """k as (select doc_id, '%d' || doc_id as s from cur),
+w as (select doc_id, length(s) as n, [ascii(x)::ubigint for x in string_split(s || chr(0) || chr(0) || chr(0), '')] as b from k),
+x as (select doc_id, n, [(b[4 * i + 1] | (b[4 * i + 2] << 8) | (b[4 * i + 3] << 16) | (b[4 * i + 4] << 24))::ubigint for i in range((n + 3) // 4)] as v from w),
+m as (select doc_id, n, [((((y * 3432918353 & 4294967295) << 15) | ((y * 3432918353 & 4294967295) >> 17)) & 4294967295) * 461845907 & 4294967295 for y in v] as v from x),
+h as (select doc_id, n, list_reduce([1::ubigint] || [case when 4 * i <= n then y else y | (1::ubigint << 32) end for y, i in v],
+  lambda a, y: case when y >> 32 = 1 then xor(a, y & 4294967295) else ((((xor(a, y) << 13) | (xor(a, y) >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295 end) as a from m),
+f1 as (select doc_id, xor(a, n::ubigint) as a from h), f2 as (select doc_id, xor(a, a >> 16) * 2246822507 & 4294967295 as a from f1),
+f3 as (select doc_id, xor(a, a >> 13) * 3266489909 & 4294967295 as a from f2), f4 as (select doc_id, xor(a, a >> 16) as a from f3)"""
+
+
+@query(f"with {_CUR}, {_MURMUR} select doc_id, cast(a % 8 as int) as storage_shard from f4")
 def storage_shard_hash(spark, sf_dir):
     """The storage shard of every document."""
     return _docs(spark, sf_dir).select("doc_id", hashing.storage_shard(F.col("doc_id"), 8).alias("storage_shard"))
