@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkdex.functions.text import ascii_lower, split_words
+from inkdex.functions.text import several, units
 from inkdex.model import IndexType, Segmenter
 from inkdex.operators import segment as seg
-from inkdex.runtime import partitions
+from inkdex.runtime import spread
 
 NO_STARTS = "array<int>"
 
@@ -16,7 +16,7 @@ NO_STARTS = "array<int>"
 def current_rows(docs: DataFrame, key: str = "doc_id", revision: str = "revision") -> DataFrame:
     """Of each key the row of the greatest revision (null is the lowest; equal revisions are repeats, any one counts)."""
     latest = Window.partitionBy(key).orderBy(F.col(revision).desc_nulls_last())
-    return docs.withColumn("_latest", F.row_number().over(latest)).where("_latest = 1").drop("_latest")
+    return spread(docs, key).withColumn("_latest", F.row_number().over(latest)).where("_latest = 1").drop("_latest")
 
 
 #: Stop tokens that are compared as literals at most; more of them are joined.
@@ -33,17 +33,10 @@ def without_stop_tokens(rows: DataFrame, column: str, stop: list[str] | DataFram
     return there.join(rows.sparkSession.createDataFrame([(t,) for t in stop], f"`{column}` string"), column, "left_anti")
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """By document, over as many partitions as the session shuffles into: exploding multiplies the rows, so that adaptive
-    coalescing by the size of the texts would leave too few."""
-    return docs.repartition(partitions(docs.sparkSession), "doc_id")
-
-
 def _units(content: Column, segmenter, spark) -> Column:
     """The tokens of a content in order; in fine mode a text of one unit has none."""
     if segmenter is None:
-        u = split_words(ascii_lower(content))
-        return F.when(F.size(u) > 1, u).otherwise(F.array().cast("array<string>"))
+        return several(units(content))
     return segmenter.column(content, spark)
 
 
@@ -89,7 +82,7 @@ def tokenize(docs: DataFrame, segmenter: Segmenter | DataFrame | None = None) ->
 
     Fine mode: a content of one unit has no tokens. Null and empty contents have none. doc_id must be unique.
     """
-    rows = _with_start(_occurrences(prepare(_spread(docs.select("doc_id", "content")), segmenter)).where("kind = 0"))
+    rows = _with_start(_occurrences(prepare(spread(docs.select("doc_id", "content"), "doc_id"), segmenter)).where("kind = 0"))
     return rows.select("doc_id", "pos", "tok", "start", (F.col("start") + F.octet_length("tok")).cast("int").alias("end"))
 
 
@@ -108,7 +101,7 @@ def build_postings(docs: DataFrame, stop: list[str] | DataFrame = (), index_type
     Texts are shuffled once, by doc_id, before their tokens are exploded; grouping then needs no further exchange.
     ``placed``: the plan of ``docs`` already lies by doc_id, as ``current_rows`` leaves it, so they aren't even then.
     """
-    rows = _occurrences(prepare(docs if placed else _spread(docs), segmenter))
+    rows = _occurrences(prepare(docs if placed else spread(docs, "doc_id"), segmenter))
     if index_type == IndexType.LOCATIONS:  # only here places are worked out, which takes a sort by document and place
         rows = without_stop_tokens(_with_start(rows), "tok", stop)
         given = F.max_by(F.when(F.col("kind") == 1, F.col("starts")), F.when(F.col("kind") == 1, F.col("pos")))

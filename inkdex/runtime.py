@@ -89,3 +89,22 @@ def ship_file(spark: SparkSession, name: str, data: bytes) -> str:
 def partitions(spark: SparkSession) -> int:
     """How many tasks a shuffle of the session is spread over at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by key over as many partitions as the session shuffles into.
+
+    For what multiplies the rows or is heavy work on each: adaptive coalescing by their size would leave too few tasks.
+    """
+    return df.repartition(partitions(df.sparkSession), key)
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """The same, but only where ``df`` is a plain scan in fewer partitions: a small table whose rows are heavy work.
+
+    A large table has more splits than that already, and isn't shuffled.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= partitions(df.sparkSession):
+        return df
+    return spread(df, key)

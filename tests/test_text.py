@@ -152,3 +152,9 @@ def test_stop_tokens(spark, tmp_path):
     (tmp_path / "s.txt").write_text("the\n\n ,\nthe\r\nof")
     assert dictionary.stop_list(dictionary.read_stop_tokens(spark, str(tmp_path / "s.txt"))) == [" ,", "of", "the"]
     assert dictionary.is_stop_token("of", ["of"]) and not dictionary.is_stop_token("Of", ["of"])
+
+
+def test_both_patterns_tell_the_same_units(spark):
+    every = spark.createDataFrame([(chr(c),) for c in range(0x3000) if not 0xD800 <= c < 0xE000], "c string")
+    both = every.select(F.regexp_extract_all(F.concat(F.lit("a"), "c", F.lit("b")), F.lit(text.UNIT), F.lit(0)).alias("x"), F.regexp_extract_all(F.concat(F.lit("a"), "c", F.lit("b")), F.lit(text.JAVA_UNIT), F.lit(0)).alias("y"))
+    assert both.where("x <> y").count() == 0 and both.where("size(x) = 1").count() > 500
