@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.words import blocks
-from inkdex.runtime import ship_file
+from inkdex.runtime import ship_file, spread_scan
 
 #: Fixed value of the public tokenizer: the pattern that splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,7 +211,8 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary_path: str | None =
     """The token ids of every text: (key, ids array<int>), one row per row of ``df``.
 
     A null and an empty text have the empty list. Texts are encoded as they stand, special tokens' strings as ordinary
-    text. Long texts are encoded whole; equal texts and keys stay separate rows. Nothing is shuffled but piece counts.
+    text. Long texts are encoded whole; equal texts and keys stay separate rows. Nothing is shuffled but piece counts,
+    and the rows of a table too small to have a split for every task.
     """
     path = vocabulary_path or vocabulary()
     encoder = _encoder(path)
@@ -252,5 +253,5 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary_path: str | None =
             bounds = np.concatenate(([0], ends))[per_text]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], ["k", "ids"])
 
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>")
+    out = spread_scan(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k").mapInArrow(run, f"k {kind}, ids array<int>")
     return out.withColumnRenamed("k", key)
