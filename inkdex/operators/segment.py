@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,10 @@ def cheapest(words: list[str], found: list[list[tuple[int, float, str]]], fine:
     n = len(words)
     if n == 0 or (fine and n == 1):
         return []
+    if all(not h or (len(h) == 1 and h[0][0] == 1 and 0 < h[0][1] <= UNKNOWN_DISTANCE) for h in found):
+        # no entry spans units: every unit is a segment, an entry where there is one, as it costs no more than none
+        ends = list(accumulate(len(w.encode()) for w in words))
+        return list(zip(words, [0, *ends], ends, [h[0][2] if h else UNKNOWN_POS for h in found]))
     ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
     for i, here in enumerate(found):
         for size, distance, pos in here:
@@ -152,8 +157,9 @@ def cheapest(words: list[str], found: list[list[tuple[int, float, str]]], fine:
 
 
 def _as_rows(segments: list[list[tuple[str, int, int, str]]]) -> pa.Array:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pos", pa.string())]))
-    return pa.array([[dict(zip(("text", "start", "end", "pos"), s)) for s in x] for x in segments], kind)
+    texts, starts, ends, pos = zip(*(s for x in segments for s in x)) if any(segments) else ([], [], [], [])
+    rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(pos, pa.string())], ["text", "start", "end", "pos"])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, segments))], pa.int32()), rows)
 
 
 def segment(df: DataFrame, key: str, text: str, lexicon: Lexicon, fine: bool = True) -> DataFrame:
@@ -188,8 +194,9 @@ def _hits(base: DataFrame, entries: DataFrame) -> DataFrame:
     """``base`` (k unique, t) with the entries that occur in each text: hits array<struct<i, n, text, distance, pos>>, null where none does."""
     longest = entries.agg(F.max(F.size("words"))).first()[0] or 0
     words = base.withColumn("w", units(F.col("t")))
-    at = words.select("k", F.posexplode("w").alias("i", "u"), "w").select("k", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("w") - F.col("i")))).alias("n"), "w")
-    grams = at.select("k", "i", "n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), "").alias("text"))
+    # a row holds its own run of units only: each place is cut to the longest entry before it is told apart
+    at = words.where(F.size("w") > 0).select("k", F.posexplode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.lit(max(longest, 1))))).alias("i", "r"))
+    grams = at.select("k", "i", F.posexplode(F.transform("r", lambda _, j: F.array_join(F.slice("r", F.lit(1), j + 1), ""))).alias("j", "text")).select("k", "i", (F.col("j") + 1).alias("n"), "text")
     hits = grams.join(entries.select("text", "distance", "pos"), "text").groupBy("k").agg(F.collect_list(F.struct("i", "n", "text", "distance", "pos")).alias("hits"))
     return base.join(hits, "k", "left").select("k", "t", "hits")
 
