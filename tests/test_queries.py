@@ -10,9 +10,8 @@ def test_agrees_with_sql(agrees, name):
     agrees(queries.QUERIES, queries.SQL, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_runs(spark, data, name):
-    assert queries.QUERIES[name](spark, data).count() > 0
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_contract(spark):
