@@ -81,9 +81,10 @@ def answer_all(
     ``fields``, ``scorer`` and ``shard`` (an expression over doc_id) as in ``Engine``, ``ranking.score`` and
     ``lookup.lookup``. ``digits``: relevance is rounded so before it is compared; None: not at all.
 
-    Requests that ask the same are answered once. Of each question the rarest key is looked up first and the other
-    keys only have to agree with what it found, so that the length of a common key's list never multiplies; the
-    (question, document) pairs are spread by both, so no key gathers in one task. Nor does the ranking of a broad
+    Requests that ask the same are answered once. Of each question the rarest key is looked up first, what the second
+    rarest doesn't have is left out at once, and all keys only have to agree with what those two found, so that the
+    length of a common key's list never multiplies; the (question, document) pairs are spread by both, so no key gathers
+    in one task. Nor does the ranking of a broad
     question: limits are ranked in two stages, questions without one over ranges of their order.
     """
     none = F.array().cast("array<string>")
@@ -98,9 +99,11 @@ def answer_all(
     df = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     keys = keys.join(df, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     per = Window.partitionBy("qid")
-    keys = keys.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("least", F.min("df").over(per)).withColumn("first", F.row_number().over(per.orderBy("df", "tok"))).where("least > 0")
+    keys = keys.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("least", F.min("df").over(per)).withColumn("first", F.row_number().over(per.orderBy("df", "tok"))).withColumn("second", F.lead("tok").over(per.orderBy("df", "tok"))).where("least > 0")
     keys = materialize(keys, "keys")
-    found = keys.where("first = 1").join(postings.select("tok", "doc_id"), "tok").where("lo is null or doc_id between lo and hi").select("qid", "doc_id")
+    found = keys.where("first = 1").join(postings.select("tok", "doc_id"), "tok").where("lo is null or doc_id between lo and hi").select("qid", "doc_id", "second")
+    both = found.where("second is not null").join(postings.select(F.col("tok").alias("second"), "doc_id"), ["second", "doc_id"], "left_semi")
+    found = found.where("second is null").select("qid", "doc_id").unionByName(both.select("qid", "doc_id"))
     pairs = found.join(keys.select("qid", "tok", "times", "df", "n"), "qid").join(postings.select("tok", "doc_id", "tf"), ["tok", "doc_id"])
     sums = (F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("token_length"), F.lit(0.0)).alias("average"))
     pairs = pairs.join(stats.select("doc_id", "token_length"), "doc_id", "left")
