@@ -572,20 +572,23 @@ def dict_prefix_lookup(spark, sf_dir):
 
 def _segments(keyed: str) -> str:
     """SQL of the cheapest segmentation of (k, t, fine) rows: costs unit by unit, each from the costs of the units before, then
-    the way back from the end. Of equal costs the first start counts, so costs are compared as they add up in 32 bits."""
+    the way back from the end. Of equal costs the first start counts, so costs are compared as they add up in 32 bits.
+    Texts in which no entry spans units and none costs more than a unit without leave no choice and need no way."""
     return f"""{_ENTRIES}, total as (select sum(freq) as total from en),
 dist as materialized (select text, pos, cast(log2(total) as float) - cast(log2(freq) as float) as d from en, total),
 longest as (select coalesce(max(len(regexp_extract_all(text, '{_UNIT}'))), 1) as longest from en),
 keyed as ({keyed}),
 un as materialized (select k, a, len(a) as u, fine from (select k, fine, regexp_extract_all({_LOW % 't'}, '{_UNIT}') as a from keyed) where len(a) > cast(fine as int)),
 unit as (select k, a, u, fine, unnest(range(u)) as i from un),
-gram as (select k, u, i, n, array_to_string(a[i + 1:i + n], '') as text from (select k, a, u, i, fine, unnest(range(1, least(longest, u - i) + 1)) as n from unit, longest) where not (fine and n = u)),
-hit as (select k, i as b, i + n as e, d, pos from gram join dist using (text)),
+sizes as materialized (select distinct len(regexp_extract_all(text, '{_UNIT}')) as n from en),
+gram as (select k, u, i, n, array_to_string(a[i + 1:i + n], '') as text from unit, sizes where i + n <= u and not (fine and n = u)),
+hit as materialized (select k, i as b, i + n as e, d, pos from gram join dist using (text)),
 alone as (select unit.k, i as b, i + 1 as e, cast(32 as float) as d, 'x' as pos from unit left join hit on hit.k = unit.k and hit.b = i and hit.e = i + 1 where hit.k is null or strlen(a[i + 1]) > 1),
 alone_ as (select distinct on (k, b) * from alone),
-step as materialized (select k, e, list(struct_pack(b := b, d := d, pos := pos) order by b, o) as c from (select *, 0 as o from hit union all select *, 1 from alone_) group by k, e),
+open_ as materialized (select distinct k from hit where e - b > 1 or d > 32),
+step as materialized (select k, e, list(struct_pack(b := b, d := d, pos := pos) order by b, o) as c from (select *, 0 as o from hit union all select *, 1 from alone_) where k in (select k from open_) group by k, e),
 way(k, e, costs, came, pos) as (
-  select k, 0, [cast(0 as float)], cast(0 as bigint), '' from un
+  select k, 0, [cast(0 as float)], cast(0 as bigint), '' from un where k in (select k from open_)
   union all
   select k, e + 1, (costs || [best.d])[-(select longest from longest) - 1:], best.b, best.pos from (
     select w.k, w.e, w.costs, list_reduce([struct_pack(b := x.b, d := w.costs[x.b - w.e - 1] + x.d, pos := x.pos) for x in s.c], lambda p, q: case when q.d < p.d then q else p end) as best
@@ -594,7 +597,10 @@ back(k, e, b, pos) as (
   select way.k, way.e, came, pos from way join un on un.k = way.k and way.e = u
   union all
   select way.k, way.e, way.came, way.pos from back join way on way.k = back.k and way.e = back.b where back.b > 0),
-seg as (select back.k, b, e, pos, array_to_string(a[b + 1:e], '') as text, coalesce(strlen(array_to_string(a[1:b], '')), 0) as start, e - b as n from back join un using (k))"""
+seg as (select back.k, b, e, pos, array_to_string(a[b + 1:e], '') as text, coalesce(strlen(array_to_string(a[1:b], '')), 0) as start, e - b as n from back join un using (k)
+  union all
+  select u.k, u.i, u.i + 1, coalesce(h.pos, 'x'), u.a[u.i + 1], coalesce(sum(strlen(u.a[u.i + 1])) over (partition by u.k order by u.i rows between unbounded preceding and 1 preceding), 0), 1
+  from unit u left join hit h on h.k = u.k and h.b = u.i and h.e = u.i + 1 where u.k not in (select k from open_))"""
 
 
 @query(f"""with recursive {_CUR}, {_segments("select doc_id as k, content as t, true as fine from cur where content <> ''")}
