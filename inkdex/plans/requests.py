@@ -11,11 +11,14 @@ from inkdex.functions.scoring import bm25_term
 from inkdex.functions.text import asked_units
 from inkdex.model import BM25Parameters, Segmenter
 from inkdex.operators.index import LITERALS, without_stop_tokens
+from inkdex.operators.lists import Lists
 from inkdex.operators.ranking import score
 from inkdex.runtime import materialize, partitions
 
-#: Places that are ranked in one task at most; limits beyond it are ranked like none.
+#: Places that are ranked in one task at most where hits are joined; limits beyond it are ranked like none.
 BOUND = 10_000
+#: Questions whose rarest key is in more documents are joined, others answered in one task. Requests of a question to a task.
+BROAD, TOGETHER = 1 << 22, 64
 
 
 def asked_tokens(text: Column, tokens: Column, stop: list[str], own: Column | None = None) -> Column:
@@ -81,11 +84,9 @@ def answer_all(
     ``fields``, ``scorer`` and ``shard`` (an expression over doc_id) as in ``Engine``, ``ranking.score`` and
     ``lookup.lookup``. ``digits``: relevance is rounded so before it is compared; None: not at all.
 
-    Requests that ask the same are answered once. Of each question the rarest key is looked up first, what the second
-    rarest doesn't have is left out at once, and all keys only have to agree with what those two found, so that the
-    length of a common key's list never multiplies; the (question, document) pairs are spread by both, so no key gathers
-    in one task. Nor does the ranking of a broad
-    question: limits are ranked in two stages, questions without one over ranges of their order.
+    Without ``scorer`` and ``shard`` questions are answered on the lists of their keys, each in one task that ranks its
+    hits, so that hits go nowhere before they are rows of the result; only those whose rarest key is in more than
+    ``BROAD`` documents are joined, as all are with ``scorer`` or ``shard``.
     """
     none = F.array().cast("array<string>")
     rows = requests.dropDuplicates(["request_id"]).where(valid_range(F.col("doc_ids")))
@@ -93,6 +94,43 @@ def answer_all(
     rows = rows.select("request_id", "q", F.array_distinct(F.filter(F.coalesce("labels", none), lambda x: x.isNotNull())).alias("l"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(0))).alias("lo"), F.when(F.size("doc_ids") == 2, F.get("doc_ids", F.lit(1))).alias("hi"), F.coalesce("reverse_order", F.lit(False)).alias("rev"), F.greatest(F.coalesce("output_offset", F.lit(0)), F.lit(0)).cast("bigint").alias("skip"), F.coalesce("max_outputs", F.lit(0)).cast("bigint").alias("most"))
     rows = rows.withColumn("most", F.when(F.col("most") > 0, F.col("most")))
     rows = materialize(rows.withColumn("question", F.to_json(F.struct("q", "l", "lo", "hi", "rev", "skip", "most"), {"ignoreNullFields": "false"})), "requests")
+    if scorer or shard is not None:
+        return answer_joined(rows, postings, stats, bm25, fields=fields, scorer=scorer, shard=shard, digits=digits)
+    return answer_listed(rows, postings, stats, bm25, digits)
+
+
+def answer_listed(rows: DataFrame, postings: DataFrame, stats: DataFrame, bm25: BM25Parameters, digits: int | None) -> DataFrame:
+    """The answers by lists. Requests with the same keys meet in groups of ``TOGETHER``, about, that find their hits once."""
+    times = lambda t: F.size(F.filter("q", lambda x: x == t)).alias("times")
+    rows = rows.withColumn("keys", F.array_sort(F.transform(F.array_distinct(F.concat("q", "l")), lambda t: F.struct(t.alias("tok"), times(t)))))
+    sets = materialize(rows.where(F.size("keys") > 0).groupBy("keys").agg(F.min("request_id").alias("set"), F.count(F.lit(1)).alias("many")), "sets")
+    keys = sets.select("set", "many", F.size("keys").alias("n"), F.explode("keys").alias("k")).select("set", "many", "n", "k.tok", "k.times")
+    lists = Lists(postings, stats, materialize(keys.select("tok").distinct(), "asked"))
+    found = keys.join(lists.directory, "tok").groupBy("set").agg(F.first("n").alias("n"), F.min("df").alias("least"), F.collect_list(F.struct("tok", "times", "df", "lists")).alias("keys")).where(F.size("keys") == F.col("n"))
+    found = materialize(found, "found")
+    asks = rows.join(sets, "keys").withColumn("group", F.pmod(F.xxhash64("request_id"), F.ceil(F.col("many") / TOGETHER)))
+    asks = asks.groupBy("set", "group").agg(F.collect_list(F.struct("request_id", "lo", "hi", "rev", "skip", "most")).alias("asks"))
+    units = asks.join(found.where(F.col("least") <= BROAD).select("set", "keys"), "set").repartition(4 * partitions(rows.sparkSession), "set", "group")
+    out = lists.answer(units, bm25, digits)
+    broad = found.where(F.col("least") > BROAD).select("set")
+    if broad.limit(1).count():
+        joined = rows.join(sets.join(broad, "set", "left_semi").select("keys"), "keys", "left_semi").drop("keys")
+        out = out.unionByName(answer_joined(joined, postings, stats, bm25, digits=digits))
+    return out
+
+
+def answer_joined(
+    rows: DataFrame, postings: DataFrame, stats: DataFrame, bm25: BM25Parameters, *,
+    fields: DataFrame | None = None, scorer: Callable[[DataFrame], Column] | None = None, shard: Column | None = None, digits: int | None = None,
+) -> DataFrame:
+    """The answers by joins.
+
+    Requests that ask the same are answered once. Of each question the rarest key is looked up first, what the second
+    rarest doesn't have is left out at once, and all keys only have to agree with what those two found, so that the
+    length of a common key's list never multiplies; the (question, document) pairs are spread by both, so no key gathers
+    in one task. Nor does the ranking of a broad
+    question: limits are ranked in two stages, questions without one over ranges of their order.
+    """
     asked = rows.groupBy("question").agg(F.min("request_id").alias("qid"), *[F.first(c).alias(c) for c in ("q", "l", "lo", "hi", "rev", "skip", "most")]).where(F.size("q") + F.size("l") > 0)
     asked = materialize(asked, "questions")
     keys = asked.select("qid", "lo", "hi", F.explode(F.array_distinct(F.concat("q", "l"))).alias("tok"), "q").select("qid", "lo", "hi", "tok", F.size(F.filter("q", lambda x: x == F.col("tok"))).alias("times"))
