@@ -54,10 +54,8 @@ PAIRS = [
 #: The state of text whose bytes were replaced on reading; nothing restores it.
 LOST = "lost"
 LOST_COST, LEAVE_COST, STAY_COST, BROKEN_COST = 4.0, 3.0, 0.05, 7.0
-#: Rows and characters of each of the two training samples at most: the model doesn't grow with the corpus.
-TRAINING_ROWS, TRAINING_CHARS = 3_000, 2_000_000
-#: Characters that are labelled at once.
-BLOCK = 1 << 18
+#: Characters that are labelled at once; different bigrams that a task holds before it hands them on.
+BLOCK, HELD = 1 << 18, 2_000_000
 
 # Clean but rare characters as they stand in ordinary text, so that they don't look like mistakes.
 SEED = [
@@ -199,28 +197,95 @@ def _sizes(written: str, read: str) -> dict[str, int]:
     return dict(Counter(by(b) + (by(b2) if b2 > 127 else ".") for b in range(129, 255) for b2 in [*range(0x40, 0x7F), *range(0x80, 0xFF)]))
 
 
+#: Counted bigrams: ascending keys (code point before << 21 | code point), and how often; behind ``ANY`` characters are counted alone.
+Counts = tuple[np.ndarray, np.ndarray]
+ANY, CODE = 0x1FFFFF, 0x1FFFFF
+
+
+def total_of(parts: list[Counts]) -> Counts:
+    """The sum of counts."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def bigrams(texts: Iterable[str]) -> Counts:
+    """The bigrams of texts, each begun by a line break, none reaching over to the next text."""
+    texts = ["\n" + t for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    inside = np.ones(len(points), bool)
+    inside[np.cumsum([0, *map(len, texts)])[:-1]] = False
+    pairs = np.unique((points[:-1] << 21 | points[1:])[inside[1:]], return_counts=True)
+    alone = np.unique(points, return_counts=True)
+    return np.concatenate((pairs[0], alone[0] | ANY << 21)), np.concatenate((pairs[1], alone[1]))
+
+
+def tally(texts: Iterable[str]) -> list[Counts]:
+    """The counts that a model is made of: of ASCII texts, of others, and of those as gbk shows their UTF-8."""
+    plain, others = [], []
+    for t in texts:
+        (plain if t.isascii() else others).append(t)
+    shown = ((misread(t, "utf-8", "gbk") or "").replace("\ufffd", "") for t in others)
+    return [bigrams(plain), bigrams(others), bigrams(shown)]
+
+
+def misread_counts(counts: Counts, written: str, read: str) -> Counts:
+    """The bigrams of texts put through a pair, from those of the texts: ``read`` shows each byte by itself.
+
+    Bytes that ``read`` doesn't have are left out, with the bigrams they are in.
+    """
+    keys, n = counts
+    alone = keys >> 21 == ANY
+    codes, many = keys[alone] & CODE, n[alone]
+    first, last, inner = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), []
+    for k, (c, m) in enumerate(zip(codes.tolist(), many.tolist())):
+        try:
+            shown = [ord(_show(b, read)) if b > 127 else b for b in chr(c).encode(_codec(written))]
+        except UnicodeEncodeError:
+            shown = [0xFFFD]
+        first[k], last[k] = shown[0], shown[-1]
+        inner += [(ANY << 21 | x, m) for x in shown] + [(x << 21 | y, m) for x, y in zip(shown, shown[1:])]
+    pairs = keys[~alone]
+    over = last[np.searchsorted(codes, pairs >> 21)] << 21 | first[np.searchsorted(codes, pairs & CODE)]
+    x = np.array(inner, np.int64).reshape(-1, 2)
+    keys, n = total_of([(over, n[~alone]), (x[:, 0], x[:, 1])])
+    there = (keys >> 21 != 0xFFFD) & (keys & CODE != 0xFFFD)
+    return keys[there], n[there]
+
+
 class Bigrams:
     """P(character | the one before): counts, backed off to classes of characters by the number of different successors."""
 
-    def __init__(self, written: str, read: str, texts: Iterable[str]):
+    def __init__(self, written: str, read: str, counts: Counts):
         self.written, self.read = written, read
         self.sizes = SIZES if written == "clean" else SIZES | _sizes(written, read)
-        self.kinds, self.after, self.followers = Counter(), Counter(), Counter()
-        texts = ["\n" + t for t in texts]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        inside = np.ones(len(points), bool)  # no pair reaches over to the next text
-        inside[np.cumsum([0, *map(len, texts)])[:-1]] = False
-        count = lambda x: zip(*(a.tolist() for a in np.unique(x, return_counts=True)))
-        self.singles = Counter({chr(c): n for c, n in count(points)})
-        self.pairs = Counter({(chr(c >> 21), chr(c & 0x1FFFFF)): n for c, n in count((points[:-1] << 21 | points[1:])[inside[1:]])})
-        for c, n in self.singles.items():
-            self.kinds[kind_in(c, written, read)] += n
-        for (a, b), n in self.pairs.items():
-            self.after[kind_in(a, written, read), kind_in(b, written, read)] += n
-            self.followers[a] += 1
+        keys, n = counts
+        alone = keys >> 21 == ANY
+        codes, many = keys[alone] & CODE, n[alone]
+        self.keys, self.n = keys[~alone], n[~alone]
+        self.singles = Counter(dict(zip(map(chr, codes.tolist()), many.tolist())))
+        names = [kind_in(c, written, read) for c in self.singles]
+        order = list(dict.fromkeys(names))
+        kinds = np.array([order.index(k) for k in names], np.int64)
+        self.kinds, self.after = Counter(), Counter()
+        for k, m in zip(names, many.tolist()):
+            self.kinds[k] += m
+        before = np.searchsorted(codes, self.keys >> 21)
+        met = kinds[before] * len(order) + kinds[np.searchsorted(codes, self.keys & CODE)]
+        for k, m in zip(*total_of([(met, self.n)])):
+            self.after[order[k // len(order)], order[k % len(order)]] = int(m)
+        self.followers = Counter(dict(zip(self.singles, np.bincount(before, minlength=len(codes)).tolist())))
         self.total = sum(self.kinds.values())
         self.logs: dict[tuple[str, str], float] = {}
 
+    def met(self, before: str, c: str) -> int:
+        """How often ``c`` stands behind ``before``."""
+        key = ord(before) << 21 | ord(c)
+        k = self.keys.searchsorted(key)
+        return int(self.n[k]) if k < len(self.keys) and self.keys[k] == key else 0
+
     def log(self, before: str, c: str) -> float:
         """Log probability of ``c`` behind ``before``."""
         if (known := self.logs.get((before, c))) is None:
@@ -237,7 +302,7 @@ class Bigrams:
         overall = (self.kinds[k] + 0.2) / (self.total + 10.0)
         by_kind = (self.after[j, k] + 4.0 * overall) / (self.kinds[j] + 4.0)
         more = 6.0 + self.followers[before]
-        return math.log((self.pairs[before, c] + more * by_kind * within) / (self.singles[before] + more))
+        return math.log((self.met(before, c) + more * by_kind * within) / (self.singles[before] + more))
 
     def text(self, text: str) -> float:
         """Log probability of a text but for its first character."""
@@ -293,22 +358,22 @@ def _broken(points: np.ndarray, written: str, read: str) -> np.ndarray:
 
 
 class Model:
-    """The states with their emissions and the costs of entering them."""
+    """The states with their emissions and the costs of entering them, from the counts of clean texts (see ``tally``)."""
 
-    def __init__(self, texts: Iterable[str]):
-        texts = [*texts, *SEED]
-        self.clean = Bigrams("clean", "clean", texts)
+    def __init__(self, counts: list[Counts]):
+        plain, others, shown = (total_of([a, b]) for a, b in zip(counts, tally(SEED)))
+        clean = total_of([plain, others])
+        self.clean = Bigrams("clean", "clean", clean)
         self.pairs: dict[int, Bigrams] = {}
         self.names, enter = ["clean"], [0.0]
         for k, (written, read, cost) in enumerate(PAIRS, 1):
             if written in ("utf-8", "gbk"):
-                shown = (t if t.isascii() else (misread(t, written, read) or "").replace("\ufffd", "") for t in texts)
-                self.pairs[k] = Bigrams(written, read, shown)
+                self.pairs[k] = Bigrams(written, read, total_of([plain, shown]) if read == "gbk" else misread_counts(clean, written, read))
             self.names.append(f"{written}>{read}")
             enter.append(cost)
         self.names.append(LOST)
         self.enter = np.array([*enter, LOST_COST], np.float32)
-        self.known: dict[int, int] = {}
+        self.known, self.where = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.rows = np.zeros((0, len(self.names)), np.float32)
 
     def emit(self, before: str, c: str) -> list[float]:
@@ -329,14 +394,15 @@ class Model:
         """Log probabilities of (before, now) in every state; each different pair is worked out once."""
         keys, inverse = np.unique(before.astype(np.int64) << 21 | now, return_inverse=True)
         if len(self.known) > 400_000:
-            self.known.clear()
-            self.rows = self.rows[:0]
-        fresh = [k for k in keys.tolist() if k not in self.known]
-        if fresh:
-            more = np.array([self.emit(chr(k >> 21), chr(k & 0x1FFFFF)) for k in fresh], np.float32)
-            self.known.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
+            self.known, self.where, self.rows = self.known[:0], self.where[:0], self.rows[:0]
+        fresh = keys[~np.isin(keys, self.known, assume_unique=True)]
+        if len(fresh):
+            more = np.array([self.emit(chr(k >> 21), chr(k & CODE)) for k in fresh.tolist()], np.float32)
+            place = np.searchsorted(self.known, fresh)
+            self.known = np.insert(self.known, place, fresh)
+            self.where = np.insert(self.where, place, np.arange(len(self.rows), len(self.rows) + len(fresh)))
             self.rows = np.concatenate((self.rows, more))
-        return self.rows[np.fromiter((self.known[k] for k in keys.tolist()), np.int64, len(keys))][inverse]
+        return self.rows[self.where[np.searchsorted(self.known, keys)]][inverse]
 
 
 def _paths(e: np.ndarray, begins: np.ndarray, sizes: np.ndarray, enter: np.ndarray) -> list[np.ndarray]:
@@ -498,41 +564,77 @@ def restore(text: str, spans: list[tuple[int, int, int]], model: Model) -> str:
 
 
 #: Controls, private and lost characters: not in texts that the model should take for clean.
-_ODD = re.compile(".*?[\x80-\x9f\ue000-\uf8ff\ufffd]", re.S).match
+_ODD = re.compile("[\x80-\x9f\ue000-\uf8ff\ufffd]").search
+
+
+#: Where UTF-8 read as cp1252 may stand: what shows the first byte of a character, then a later one.
+_COMMON = re.compile("[\xc2-\xf4][" + "".join(re.escape(_show_1252(b)) for b in range(0x80, 0xC0)) + "\x80-\x9f]").search
+
+
+def fine_texts(texts: list[str], first: Model) -> list[str]:
+    """The texts in which neither the commonest mistake nor a first model shows."""
+    fine = [t for t in texts if t.isascii() or not (_ODD(t) or _COMMON(t) and inverse(t, "utf-8", "cp1252") != t)]
+    return [t for t, spans in zip(fine, label(fine, first)) if not spans]
 
 
 def train(clean: list[str], mixed: list[str] = ()) -> Model:
     """A model from clean texts, and from those of ``mixed`` in which neither the commonest mistake nor a first model shows. Deterministic."""
-    first = Model(clean)
-    fine = [t for t in mixed if not _ODD(t) and inverse(t, "utf-8", "cp1252") == t]
-    return Model([*clean, *(t for t, spans in zip(fine, label(fine, first)) if not spans)]) if fine else first
+    counts = tally(clean)
+    first = Model(counts)
+    fine = fine_texts(list(mixed), first)
+    return Model([total_of(list(x)) for x in zip(counts, tally(fine))]) if fine else first
+
+
+def tally_all(texts: DataFrame, column: str, first: Model | None = None) -> list[Counts]:
+    """``tally`` of every row of a table, null and empty texts aside; with ``first`` of those that ``fine_texts`` lets pass.
 
+    Tasks count what they read, the sums come to the driver: one row for each different bigram.
+    """
+    model = texts.sparkSession.sparkContext.broadcast(first)
 
-def _sample(texts: DataFrame, column: str, rows: int, chars: int) -> list[str]:
-    """Distinct texts in the order of their hashes: ``rows`` of them and ``chars`` characters at most, none longer than a hundredth of that."""
-    kept, total = [], 0
-    few = texts.select(F.col(column).alias("t")).where((F.col("t") != "") & (F.char_length("t") <= max(chars // 100, 1))).select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(rows)
-    for r in few.select("t").toLocalIterator():
-        if total + len(r.t) > chars:
-            continue
-        if not kept or kept[-1] != r.t:
-            total += len(r.t)
-            kept.append(r.t)
-    return kept
+    def run(batches):
+        parts: list[list[Counts]] = [[], [], []]
 
+        def rows():
+            for part, held in enumerate(parts):
+                keys, n = total_of(held)
+                held.clear()
+                for k in range(0, len(keys), 100_000):
+                    x = keys[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, np.int32)), pa.array(x), pa.array(n[k : k + 100_000])], ["part", "pair", "n"])
 
-def garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: str = "text", *, training_rows: int = TRAINING_ROWS, training_chars: int = TRAINING_CHARS) -> DataFrame:
+        for b in batches:
+            for lo, hi in blocks(rest := [t for t in b.column(0).to_pylist() if t], 16 * BLOCK):
+                some = rest[lo:hi]
+                for held, counts in zip(parts, tally(fine_texts(some, model.value) if model.value else some)):
+                    held.append(counts)
+                if sum(len(k) for held in parts for k, _ in held) > HELD:
+                    for held in parts:
+                        held[:] = [total_of(held)]
+                    if sum(len(held[0][0]) for held in parts) > HELD // 2:
+                        yield from rows()
+        yield from rows()
+
+    counted = texts.select(F.col(column).alias("t")).mapInArrow(run, "part int, pair bigint, n bigint").groupBy("part", "pair").agg(F.sum("n").alias("n")).toArrow()
+    part, pair, n = (counted.column(c).to_numpy() for c in ("part", "pair", "n"))
+    return [total_of([(pair[part == k], n[part == k])]) for k in range(3)]
+
+
+def garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: str = "text") -> DataFrame:
     """The rows whose text was, in whole or in part, decoded with the wrong encoding.
 
     Result: (key, n_chars int: characters labelled at first, pairs array<string>: the states found, restored string:
     the text with every span undone, as often as it shows any; lost bytes stay as they are). Null and empty texts
     are in no result, repeats each have a row, texts are read whole. ``clean``: texts known to be clean.
 
-    The model is fitted on the driver to bounded samples (``training_rows``, ``training_chars``) of ``clean`` and of
-    ``df`` itself, the latter labelled by a first model; everything else is one pass over ``df`` without a shuffle.
+    The model is made of the bigrams of every text of ``clean`` and of every text of ``df`` that a first model, made of
+    ``clean`` alone, takes for clean; tasks count them. So ``df`` is read twice, to train and to be labelled, both
+    times without a shuffle.
     """
-    trusted = _sample(clean, clean_text, training_rows, training_chars)
-    model = df.sparkSession.sparkContext.broadcast(train(trusted, _sample(df, text, training_rows, training_chars)))
+    source = spread_scan(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
+    trusted = tally_all(clean, clean_text)
+    own = tally_all(source, "t", Model(trusted))
+    model = df.sparkSession.sparkContext.broadcast(Model([total_of(list(x)) for x in zip(trusted, own)]))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -558,5 +660,5 @@ def garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: st
                 cols = [b.column(0).take(pa.array(hit)), pa.array([chars[k] for k in hit], pa.int32()), pa.array([list(pairs[k]) for k in hit], pa.list_(pa.string())), pa.array([now[k] for k in hit], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["k", "n_chars", "pairs", "restored"])
 
-    found = spread_scan(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k").mapInArrow(run, f"k {kind}, n_chars int, pairs array<string>, restored string")
+    found = source.mapInArrow(run, f"k {kind}, n_chars int, pairs array<string>, restored string")
     return found.withColumnRenamed("k", key)

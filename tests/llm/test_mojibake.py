@@ -98,3 +98,28 @@ def test_many_layers(spark, clean):
         now = now.encode().decode("cp1252")
     df = spark.createDataFrame([(1, now)], "doc_id bigint, text string")
     assert [r.restored for r in mo.garbled(df, "doc_id", "text", spark.createDataFrame([(t,) for t in clean], "text string")).collect()] == [text]
+
+
+def test_the_model_is_made_of_all_texts(spark, clean):
+    """A long text of the clean table, and texts of the corpus, however many, tell what is clean."""
+    good = spark.createDataFrame([(t,) for t in [*clean, "plain Ã©tÃ© words, " * 2_000]], "text string")
+    df = spark.createDataFrame([(1, "plain Ã©tÃ© words"), (2, "Les numÃ©ros trÃ¨s lÃ©gers")], "doc_id bigint, text string")
+    assert [r.doc_id for r in mo.garbled(df, "doc_id", "text", good).collect()] == [2]
+
+
+def test_counts_of_a_table(spark, clean, model):
+    same = lambda a, b: all((x == y).all() for p, q in zip(a, b) for x, y in zip(mo.total_of([p]), mo.total_of([q])))
+    texts = [f"{t[:80]} {k}" for k in range(40) for t in clean] + ["word é " * 5_000, "naÃ¯ve rÃ©sumÃ©", "Ã", "a�b"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string").repartition(3)
+    assert len(texts) > 9_000 and same(mo.tally_all(df, "t"), mo.tally(texts))
+    fine = mo.fine_texts(texts, model)
+    assert set(texts) - set(fine) >= {"naÃ¯ve rÃ©sumÃ©", "a�b"} and same(mo.tally_all(df, "t", model), mo.tally(fine))
+
+
+@pytest.mark.parametrize("written, read, _", [p for p in mo.PAIRS if p[0] in ("utf-8", "gbk") and p[1] != "gbk"])
+def test_counts_put_through_a_pair(clean, written, read, _):
+    texts = [*clean, *RUSSIAN, "中文，标点。", "x"]
+    want = mo.total_of([mo.bigrams(mo.misread(t, written, read) for t in texts)])
+    got = mo.misread_counts(mo.total_of([mo.bigrams(texts)]), written, read)
+    kept = (want[0] >> 21 != 0xFFFD) & (want[0] & mo.CODE != 0xFFFD)
+    assert got[0].tolist() == want[0][kept].tolist() and got[1].tolist() == want[1][kept].tolist()
