@@ -215,11 +215,21 @@ def bigrams(texts: Iterable[str]) -> Counts:
     """The bigrams of texts, each begun by a line break, none reaching over to the next text."""
     texts = ["\n" + t for t in texts]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    inside = np.ones(len(points), bool)
-    inside[np.cumsum([0, *map(len, texts)])[:-1]] = False
-    pairs = np.unique((points[:-1] << 21 | points[1:])[inside[1:]], return_counts=True)
-    alone = np.unique(points, return_counts=True)
-    return np.concatenate((pairs[0], alone[0] | ANY << 21)), np.concatenate((pairs[1], alone[1]))
+    there = np.zeros(CODE + 1, bool)
+    there[points] = True
+    codes = np.flatnonzero(there)
+    number = np.zeros(CODE + 1, np.int64)
+    number[codes] = np.arange(len(codes))
+    points = number[points]
+    pairs = np.delete(points[:-1] * len(codes) + points[1:], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))[:-1] - 1)
+    if len(codes) <= 4_096:
+        n = np.bincount(pairs)
+        pairs = np.flatnonzero(n)
+        n = n[pairs]
+    else:
+        pairs, n = np.unique(pairs, return_counts=True)
+    keys = codes[pairs // max(len(codes), 1)] << 21 | codes[pairs % max(len(codes), 1)]
+    return np.concatenate((keys, codes | ANY << 21)), np.concatenate((n, np.bincount(points, minlength=len(codes))))
 
 
 def tally(texts: Iterable[str]) -> list[Counts]:
@@ -304,6 +314,29 @@ class Bigrams:
         more = 6.0 + self.followers[before]
         return math.log((self.met(before, c) + more * by_kind * within) / (self.singles[before] + more))
 
+    def logs_of(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """``log`` of many pairs of code points."""
+        codes, at = np.unique(np.concatenate((before, now)), return_inverse=True)
+        j, k = at[: len(before)], at[len(before) :]
+        chars = list(map(chr, codes.tolist()))
+        names = [kind_in(c, self.written, self.read) for c in chars]
+        order = {x: n for n, x in enumerate(dict.fromkeys(names))}
+        kind = np.array([order[x] for x in names], np.int64)
+        many = lambda counter, of: np.array([counter[x] for x in of], float)
+        kinds, sizes = many(self.kinds, order), np.array([self.sizes.get(x, 64) for x in order], float)
+        after = many(self.after, [(x, y) for x in order for y in order]).reshape(len(order), len(order))
+        singles, more = many(self.singles, chars), 6.0 + many(self.followers, chars)
+        within = (singles + 0.5) / (kinds + 0.5 * sizes)[kind]
+        overall = (kinds + 0.2) / (self.total + 10.0)
+        by_kind = ((after + 4.0 * overall) / (kinds + 4.0)[:, None])[kind[j], kind[k]]
+        keys = before << 21 | now
+        met = np.zeros(len(keys))
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            met = np.where(self.keys[place] == keys, self.n[place], 0)
+        out = np.log((met + more[j] * by_kind * within[k]) / (singles[j] + more[j]))
+        return np.where(np.array([x is None for x in names], bool)[k], -60.0, out)
+
     def text(self, text: str) -> float:
         """Log probability of a text but for its first character."""
         return sum(map(self.log, text, text[1:]))
@@ -376,19 +409,25 @@ class Model:
         self.known, self.where = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.rows = np.zeros((0, len(self.names)), np.float32)
 
-    def emit(self, before: str, c: str) -> list[float]:
-        """Log probability of ``c`` behind ``before`` in every state."""
-        clean = self.clean.log(before, c)
-        out = [-30.0 if c == "\ufffd" else clean]
-        for k, (written, read, _) in enumerate(PAIRS, 1):
-            if k in self.pairs:
-                out.append(self.pairs[k].log(*(map(_as_1252, (before, c)) if read == "cp1252" else (before, c))))
+    def emit(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Log probabilities of code points ``now`` behind ``before`` in every state."""
+        codes, at = np.unique(np.concatenate((before, now)), return_inverse=True)
+        j, k = at[: len(before)], at[len(before) :]
+        chars, lost = list(map(chr, codes.tolist())), now == 0xFFFD
+        clean = self.clean.logs_of(before, now)
+        out = [np.where(lost, -30.0, clean)]
+        for n, (written, read, _) in enumerate(PAIRS, 1):
+            if n in self.pairs:
+                seen = np.array([ord(_as_1252(c)) for c in chars], np.int64) if read == "cp1252" else codes
+                out.append(self.pairs[n].logs_of(seen[j], seen[k]))
             else:
-                was = _back(c, written, read)
-                out.append(-60.0 if was is None else self.clean.log(_back(before, written, read) or "\n", was))
-        odd = kind_of(c) in ("far", "astral", "mark", "private")
-        out.append(-1.0 if c == "\ufffd" else max(clean - 0.3, -7.0 if odd else -60.0))
-        return out
+                was = [_back(c, written, read) for c in chars]
+                known = np.array([x is not None for x in was], bool)[k]
+                back = np.array([ord(x or "\n") for x in was], np.int64)
+                out.append(np.where(known, self.clean.logs_of(back[j], back[k]), -60.0))
+        odd = np.array([kind_of(c) in ("far", "astral", "mark", "private") for c in chars], bool)[k]
+        out.append(np.where(lost, -1.0, np.maximum(clean - 0.3, np.where(odd, -7.0, -60.0))))
+        return np.stack(out, 1).astype(np.float32)
 
     def emissions(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
         """Log probabilities of (before, now) in every state; each different pair is worked out once."""
@@ -397,7 +436,7 @@ class Model:
             self.known, self.where, self.rows = self.known[:0], self.where[:0], self.rows[:0]
         fresh = keys[~np.isin(keys, self.known, assume_unique=True)]
         if len(fresh):
-            more = np.array([self.emit(chr(k >> 21), chr(k & CODE)) for k in fresh.tolist()], np.float32)
+            more = self.emit(fresh >> 21, fresh & CODE)
             place = np.searchsorted(self.known, fresh)
             self.known = np.insert(self.known, place, fresh)
             self.where = np.insert(self.where, place, np.arange(len(self.rows), len(self.rows) + len(fresh)))

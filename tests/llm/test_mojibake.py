@@ -123,3 +123,12 @@ def test_counts_put_through_a_pair(clean, written, read, _):
     got = mo.misread_counts(mo.total_of([mo.bigrams(texts)]), written, read)
     kept = (want[0] >> 21 != 0xFFFD) & (want[0] & mo.CODE != 0xFFFD)
     assert got[0].tolist() == want[0][kept].tolist() and got[1].tolist() == want[1][kept].tolist()
+
+
+def test_many_probabilities_at_once(model):
+    rng = random.Random(5)
+    chars = "ab \n1.éÃ©ÐÑ中文鎴�\x85я\U0010ffff\u0301"
+    pairs = [(rng.choice(chars), rng.choice(chars)) for _ in range(300)]
+    codes = [mo.np.array([ord(p[k]) for p in pairs], mo.np.int64) for k in (0, 1)]
+    for m in (model.clean, *model.pairs.values()):
+        assert mo.np.allclose(m.logs_of(*codes), [m.log(*p) for p in pairs], rtol=1e-12)
