@@ -690,5 +690,6 @@ select request_id, cast(rank as int) as rank, doc_id, cast(bm25 as double) as bm
 where rank > greatest(coalesce(skip, 0), 0) and (coalesce(most, 0) <= 0 or rank <= greatest(coalesce(skip, 0), 0) + most)""")
 def answer_requests(spark, sf_dir):
     """Every request of the log answered from an index of the current documents, with all hits where it sets no limit."""
-    stop = _stop(spark, sf_dir)
-    return requests.answer_all(table(spark, sf_dir, "requests"), *_built(spark, sf_dir, stop, IndexType.FREQUENCIES)[:2], stop, digits=6)
+    docs, stop = _docs(spark, sf_dir), _stop(spark, sf_dir)
+    postings = materialize(index.build_postings(docs, stop, IndexType.FREQUENCIES, placed=True), "postings")
+    return requests.answer_all(table(spark, sf_dir, "requests"), postings, materialize(index.doc_stats(docs), "stats"), stop, digits=6)
