@@ -673,7 +673,8 @@ def garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: st
     source = spread_scan(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
     trusted = tally_all(clean, clean_text)
     own = tally_all(source, "t", Model(trusted))
-    model = df.sparkSession.sparkContext.broadcast(Model([total_of(list(x)) for x in zip(trusted, own)]))
+    own = [(keys, n - (keys >> 21 != ANY)) for keys, n in own]  # a text doesn't vouch for itself: of each bigram one is left out
+    model = df.sparkSession.sparkContext.broadcast(Model([total_of([a, (b[0][b[1] > 0], b[1][b[1] > 0])]) for a, b in zip(trusted, own)]))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
